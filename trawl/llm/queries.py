@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import packing, simhash, url_filter
+from trawl.llm import mixing, packing, quality, secrets, simhash, url_filter
 from trawl.llm.common import read_table
 
 #: (verdict, host and path) of the registered URL query.
@@ -35,6 +35,23 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    mixed = mixing.mix(docs, mixing.word_count(F.col("text")), F.array("source"))
+    names = {"mix_size": "size", "mix_source_size": "source_size", "mix_target": "target", "mix_taken": "taken"}
+    return mixed.select("doc_id", *(F.col(a).alias(b) for a, b in names.items()))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", *base, F.exp("nll").alias("perplexity"), "ppl_low", "ppl_high")
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
