@@ -40,7 +40,7 @@ def ascii_lower(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """Maximal runs of non-white-space, in order; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(col, F.lit("")), WORD_SPLIT), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(col, F.lit("")), WORD_SPLIT), "")
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

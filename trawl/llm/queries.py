@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import mixing, packing, quality, secrets, simhash, url_filter
+from trawl.llm import fingerprint, html_wrapper, langid, mixing, packing, quality, secrets, simhash, url_filter
 from trawl.llm.common import read_table
 
 #: (verdict, host and path) of the registered URL query.
@@ -35,6 +35,27 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    content = langid.dictionaries(langid.sample(docs.where(~held_out)))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), content)
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprint.edited_pairs(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    made = pairs.select(
+        F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "sketch", fingerprint.sketch(F.col("edited")).alias("edited_sketch"), F.coalesce("next_sketch", F.array().cast("array<bigint>")).alias("next_sketch"),
+    )
+    return made.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprint.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprint.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
     mixed = mixing.mix(docs, mixing.word_count(F.col("text")), F.array("source"))
@@ -48,6 +69,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *base, F.exp("nll").alias("perplexity"), "ppl_low", "ppl_high")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_wrapper.main_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return texts.select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
