@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import fingerprint, html_wrapper, langid, mixing, packing, quality, secrets, simhash, url_filter
+from trawl.llm import fingerprint, html_wrapper, langid, licenses, mixing, packing, quality, secrets, simhash, url_filter
 from trawl.llm.common import read_table
 
 #: (verdict, host and path) of the registered URL query.
@@ -78,6 +78,11 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return licenses.scan(docs, licenses.train(licenses.negatives(docs)))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
