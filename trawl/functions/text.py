@@ -14,6 +14,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from trawl.functions import porter
 
@@ -32,7 +33,7 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFKC", text).casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else fold(t))
 
@@ -58,7 +59,7 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem_udf(terms: pd.Series) -> pd.Series:
     return terms.map(porter.stem)
 

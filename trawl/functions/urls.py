@@ -8,6 +8,7 @@ from urllib.parse import parse_qsl, quote, unquote, urlencode, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Query parameters that only track, default ports, and what a path keeps unescaped.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "mc_cid", "mc_eid")
@@ -51,12 +52,12 @@ def normalize(url: str | None, base: str | None = None) -> str | None:
     return f"{scheme}://{host}{at}{clean_path(parts.path)}{query}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_udf(urls: pd.Series) -> pd.Series:
     return urls.map(normalize)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve_udf(urls: pd.Series, bases: pd.Series) -> pd.Series:
     return pd.Series([normalize(u, b) for u, b in zip(urls, bases, strict=True)])
 
