@@ -84,6 +84,7 @@ TEMPLATES = {
         "This work is dedicated to the public domain under CC0 1.0 Universal.",
     ),
     "proprietary": (
+        "All rights reserved.",
         "Copyright (c) 2020 Example Corporation. All rights reserved.",
         "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
         "This software is confidential and proprietary; unauthorized copying of this file, via any medium, is strictly prohibited.",
@@ -123,6 +124,12 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
         at = end + 1
 
 
+def overlap(mine: set[str], template: set[str]) -> float:
+    """Pairs in common over the template's, or over the paragraph's own when there are at least three."""
+    n = len(mine & template)
+    return max(n / max(1, len(template)), n / len(mine) if n >= 3 else 0.0)
+
+
 class Model:
     """Weights by feature, one column a class; ``classes[0]`` is none."""
 
@@ -141,9 +148,9 @@ class Model:
         return self.bias + self.weights[known].sum(0) / math.sqrt(max(1, len(found)))
 
     def shared(self, found: list[str], family: str) -> float:
-        """The larger share of word pairs in common, of the paragraph's or of a template's."""
+        """Share of word pairs in common with a template: of the template's, or of the paragraph's when three are."""
         mine = {p for p in found if " " in p}
-        return max((len(mine & t) / max(1, min(len(mine), len(t))) for t in self.pairs[family]), default=0.0) if mine else 0.0
+        return max((overlap(mine, t) for t in self.pairs[family]), default=0.0)
 
     def classify(self, text: str) -> str | None:
         """A confirmed family, ``unknown`` for what reads like a licence but is not confirmed, or None."""
@@ -171,7 +178,7 @@ def train(negatives: list[str], seed: int = 42, rounds: int = 300) -> Model:
     for text in negatives:
         mine = {p for p in features(text) if " " in p}
         # The corpus may hold licences itself.
-        if mine and max(len(mine & t) / min(len(mine), len(t)) for t in every) < LEAST_SHARED:
+        if mine and max(overlap(mine, t) for t in every) < LEAST_SHARED:
             rows.append((features(text), 0))
     plain = [w for f, _ in rows for w in f if " " not in w] or ["text"]
     for family in classes[1:]:
