@@ -35,6 +35,12 @@ def test_wrapper_induction():
     assert html_wrapper.induce(pages[:2]) == [] and html_wrapper.induce([pages[0]] * 9) == []
 
 
+def test_headers_hold_titles_within_articles_only():
+    page = '<header><p>Site</p></header><div class="page-header">x</div><article><header class="entry-header"><h1>Title</h1></header><p>Text</p><div class="share-bar">s</div></article>'
+    assert html_wrapper.extract(page) == "Title\nText"
+    assert html_wrapper.extract("<header><p>Site</p></header><p>Text</p>") == "Text"
+
+
 def test_tree_matching():
     a, b = (html_wrapper.trimmed(html_wrapper.parse(x), [99]) for x in ("<ul><li>a<li>b<li>c</ul>", "<ul><li>a<li>c</ul><p>d"))
     assert html_wrapper.match(a, b, {}) == 1 + 1 + 2 * 2

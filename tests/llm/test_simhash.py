@@ -70,19 +70,25 @@ def test_edges(spark):
     assert simhash.near_duplicates(df.where("false")).collect() == []
 
 
-def test_more_tables_find_edited_copies(spark):
+def test_keyed_tables_find_edited_copies(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    shared = [word() for _ in range(60)]
     rows, pairs = [], []
-    for i in range(60):
-        base = [word() for _ in range(300)]
-        copy = base[:150] + base[151:]
+    for i in range(80):
+        base = [word() for _ in range(240)] + shared
+        copy = list(base)
+        for at in rng.sample(range(300), 5):
+            copy[at] = word()
         rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
         pairs.append((2 * i, 2 * i + 1))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    most = simhash.similarity_bits(0.8, 192)
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, shingle=5, bits=48, tables=4, max_distance=most).collect()}
-    assert sum(got[b] == a for a, b in pairs) >= 48 and all(v in (k, k - 1) for k, v in got.items())
+    most = simhash.similarity_bits(0.78, 1024)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, shingle=5, tables=8, sketch=16, max_distance=most).collect()}
+    # Five of 300 words leave a similarity of about 0.85.
+    assert sum(got[b] == a for a, b in pairs) >= 76 and all(v in (k, k - 1) for k, v in got.items())
+    more = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, shingle=5, bits=48, tables=4, max_distance=29).collect()}
+    assert all(v in (k, k - 1) for k, v in more.items())
 
 
 def test_majority():

@@ -65,19 +65,47 @@ def majority(h: np.ndarray, bits: int) -> int:
     return int(ones) & ((1 << bits) - 1)
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 3, bits: int = 64, tables: int = 1, out: str = "fp") -> DataFrame:
-    """``df`` without its text and with ``out``: one signed 64-bit word per table. Null texts count as empty."""
+#: Keyed tables: bits of SimHash in a word, below 47 bits of a min-hash, and tables a sketch word has room for.
+KEYED_BITS = 16
+_PER_WORD = 64 // KEYED_BITS
+
+
+def plain_words(h: np.ndarray, bits: int, tables: int) -> list[int]:
+    """One SimHash a table."""
+    return [majority(remix(h, t), bits) for t in range(tables)]
+
+
+def keyed_words(h: np.ndarray, tables: int, sketch: int) -> list[int]:
+    """A word a table, then ``sketch`` words of 64-bit SimHash that verify.
+
+    A table's word is a min-hash of the set with 16 bits of the sketch below it:
+    similar sets share the min-hash often, unrelated ones hardly ever, so few
+    bits of SimHash within the radius are enough to meet.
+    """
+    h = np.unique(h)
+    long = [majority(remix(h, t), 64) for t in range(sketch)]
+    out = []
+    for t in range(tables):
+        key = int(remix(h, 1000 + t).min()) & (1 << 47) - 1 if len(h) else 0
+        out.append(key << KEYED_BITS | long[t // _PER_WORD] >> KEYED_BITS * (t % _PER_WORD) & (1 << KEYED_BITS) - 1)
+    return out + long
+
+
+def fingerprints(
+    df: DataFrame, text_col: str = "text", shingle: int = 3, bits: int = 64, tables: int = 1, sketch: int = 0, out: str = "fp"
+) -> DataFrame:
+    """``df`` without its text and with ``out``: the signed 64-bit words of each text. Null texts count as empty."""
     others = [c for c in df.columns if c != text_col]
     schema = df.select(*others).schema.add(out, T.ArrayType(T.LongType()))
+    width = tables + sketch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = np.empty((batch.num_rows, tables), np.uint64)
+            flat = np.empty((batch.num_rows, width), np.uint64)
             for i, text in enumerate(batch.column(text_col)):
                 h = shingle_hashes(text.as_py(), shingle)
-                for t in range(tables):
-                    flat[i, t] = majority(remix(h, t), bits)
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables)
+                flat[i] = keyed_words(h, tables, sketch) if sketch else plain_words(h, bits, tables)
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
             column = pa.ListArray.from_arrays(offsets, pa.array(flat.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), column], [*others, out])
 
@@ -114,15 +142,17 @@ def word_links(words: DataFrame, bits: int, radius: int) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
-def links(nodes: DataFrame, bits: int = 64, tables: int = 1, radius: int = 2, max_distance: int | None = None) -> DataFrame:
+def links(
+    nodes: DataFrame, bits: int = 64, tables: int = 1, radius: int = 2, max_distance: int | None = None, sketch: int = 0
+) -> DataFrame:
     """Verified (a, b) that connect everything linked; ``nodes`` has one row per distinct ``fp``.
 
     With one table a and b are the words themselves. With more, they are whole
-    fingerprints: a pair counts when its words meet in any table and it differs
-    in at most ``max_distance`` bits over all tables; the holders of one word
-    are represented by the smallest of them.
+    fingerprints: a pair counts when its words meet in any table and its words
+    (those of the sketch, where there is one) differ in at most ``max_distance``
+    bits; the holders of one word are represented by the smallest of them.
     """
-    spread = nodes.select("fp", F.posexplode("fp").alias("table", "word"))
+    spread = nodes.select("fp", F.posexplode(F.slice("fp", 1, tables)).alias("table", "word"))
     if tables == 1:
         return word_links(spread.select("table", "word"), bits, radius).select("a", "b")
     heads = spread.groupBy("table", "word").agg(F.min("fp").alias("head"))
@@ -132,7 +162,8 @@ def links(nodes: DataFrame, bits: int = 64, tables: int = 1, radius: int = 2, ma
     right = heads.select("table", F.col("word").alias("b"), F.col("head").alias("head_b"))
     across = met.join(left, ["table", "a"]).join(right, ["table", "b"]).select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
     most = radius if max_distance is None else max_distance
-    return same.union(across).where("a <> b").where(distance(F.col("a"), F.col("b")) <= most).distinct()
+    told = (lambda c: F.slice(c, tables + 1, sketch)) if sketch else F.col
+    return same.union(across).where("a <> b").where(distance(told("a"), told("b")) <= most).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -160,22 +191,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 64, tables: int = 1,
-    radius: int = 2, max_distance: int | None = None,
+    radius: int = 2, max_distance: int | None = None, sketch: int = 0,
 ) -> DataFrame:
     """(id, fp, component_id) per row: the smallest id reachable over links, the row's own included.
 
-    ``bits`` is at most 64 and ``radius`` even. Repeated rows and exact copies
+    ``bits`` is at most 64 and ``radius`` even. ``sketch`` > 0 makes keyed tables
+    of 16 bits and verifies by so many words more. Repeated rows and exact copies
     share a component. Null and blank texts have fingerprint 0 and link like any
     other. A null id never becomes a component's id unless all its ids are null.
     An empty table gives an empty result.
     """
     if radius % 2 or not 0 < bits <= 64:
         raise ValueError("radius must be even and bits within 1..64")
+    if sketch:
+        bits = KEYED_BITS
+        if tables > sketch * _PER_WORD:
+            raise ValueError("a sketch word has room for four tables")
     fp = free_name(df.select(id_col), "fp")
-    docs = checkpointed(fingerprints(df.select(id_col, text_col), text_col, shingle, bits, tables, fp))
+    docs = checkpointed(fingerprints(df.select(id_col, text_col), text_col, shingle, bits, tables, sketch, fp))
     docs = docs.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
     nodes = docs.groupBy("fp").agg(F.min("id").alias("least"))
-    found = links(nodes, bits, tables, radius, max_distance)
+    found = links(nodes, bits, tables, radius, max_distance, sketch)
     roots = components(found)
     key = F.col("fp")[0] if tables == 1 else F.col("fp")
     rooted = nodes.withColumn("node", key).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
