@@ -17,6 +17,8 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawl.llm.common import checkpointed
+
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_PASSES = 3
 #: Distinct sets of sources, all of which the driver holds.
@@ -105,24 +107,21 @@ def pattern(sources: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of [^\\x20\\x09-\\x0D]+ in the text; null counts 0."""
-    squeezed = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
-    spaces = F.regexp_replace(squeezed, " +", " ")
-    return F.when(squeezed == "", F.lit(0)).otherwise(F.length(spaces) - F.length(F.translate(spaces, " ", "")) + 1).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix(df: DataFrame, size: Column, sources: Column, id_col: str = "doc_id", weights: tuple = WEIGHTS, seed: int = 42) -> DataFrame:
-    """``df`` with mix_size, mix_source_size and mix_target (of its first source), mix_copies and mix_taken.
+def _order(id_col: str, seed: int) -> tuple[Column, Column]:
+    """Hash and tie of the seeded order; null ids are one id."""
+    return F.xxhash64(F.lit(seed), F.col(id_col)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))
 
-    ``mix_taken`` is size times copies, at most three copies. The same rows give
-    the same mix whatever their order or partitions; rows that repeat an id are
-    taken or left together. Null ids are one id. Documents of size 0 are taken
-    as often as their neighbours in the order. Columns whose names begin with
-    ``mix_`` are dropped. Empty tables give no rows.
+
+def plan(df: DataFrame, size: Column, sources: Column, id_col: str = "doc_id", weights: tuple = WEIGHTS, seed: int = 42) -> DataFrame:
+    """One row a set of sources: mix_names, mix_source_size, mix_target, mix_whole passes and the cutoff (mix_key, mix_tie) of one more.
+
+    Reads ``df`` three times, so ``size`` should be a column rather than made of texts.
     """
-    df = df.drop(*(c for c in df.columns if c.lower().startswith("mix_")))
-    key = F.xxhash64(F.lit(seed), F.col(id_col))
-    tie = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = df.withColumns({"mix_size": size.cast("long"), "mix_pattern": pattern(sources)})
+    key, tie = _order(id_col, seed)
+    rows = df.select(size.cast("long").alias("mix_size"), pattern(sources).alias("mix_pattern"), key.alias("k"), tie.alias("t"))
     spark = df.sparkSession
     sums = rows.groupBy("mix_pattern").agg(F.sum("mix_size").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
@@ -135,25 +134,45 @@ def mix(df: DataFrame, size: Column, sources: Column, id_col: str = "doc_id", we
     order = sorted(sizes)
     wanted = targets(sizes, sum(n for _, n in sums), weights)
     flows = min_cost_flow([n for _, n in sums], [[order.index(s) for s in names] for names, _ in sums], [round(wanted[s]) for s in order])
-    plan = []
+    made = []
     for i, ((names, n), row) in enumerate(zip(sums, flows, strict=True)):
         whole, rest = divmod(sum(row), n) if n else (1, 0)
-        plan.append((i, list(names), sizes[names[0]], float(wanted[names[0]]), whole, rest))
-    table = spark.createDataFrame(plan, "mix_id int, mix_names array<string>, mix_source_size long, mix_target double, mix_whole long, mix_rest long")
-    cutoffs = _cutoffs(rows.join(F.broadcast(table), F.col("mix_pattern") == F.col("mix_names")).where("mix_rest > 0"), key, tie)
+        made.append((i, list(names), sizes[names[0]], float(wanted[names[0]]), whole, rest))
+    table = spark.createDataFrame(made, "mix_id int, mix_names array<string>, mix_source_size long, mix_target double, mix_whole long, mix_rest long")
+    cutoffs = _cutoffs(rows.join(F.broadcast(table), F.col("mix_pattern") == F.col("mix_names")).where("mix_rest > 0"))
     ends = spark.createDataFrame(cutoffs, "mix_end_id int, mix_key long, mix_tie string")
-    full = table.join(ends, table["mix_id"] == ends["mix_end_id"], "left")
-    out = rows.join(F.broadcast(full), F.col("mix_pattern") == F.col("mix_names"), "left")
+    return table.join(ends, table["mix_id"] == ends["mix_end_id"], "left")
+
+
+def applied(df: DataFrame, planned: DataFrame, sources: Column, id_col: str = "doc_id", seed: int = 42) -> DataFrame:
+    """``df`` with mix_source_size, mix_target and mix_copies, where the rows lie; the plan has at most ``MAX_PATTERNS`` rows."""
+    key, tie = _order(id_col, seed)
+    out = df.withColumn("mix_pattern", pattern(sources)).join(F.broadcast(planned), F.col("mix_pattern") == F.col("mix_names"), "left")
     first = F.coalesce((key < F.col("mix_key")) | ((key == F.col("mix_key")) & (tie <= F.col("mix_tie"))), F.lit(False))
-    copies = (F.col("mix_whole") + first.cast("long")).alias("mix_copies")
-    new = ["mix_size", "mix_source_size", "mix_target"]
-    out = out.select(*df.columns, *new, copies)
+    return out.select(*df.columns, "mix_source_size", "mix_target", (F.col("mix_whole") + first.cast("long")).alias("mix_copies"))
+
+
+def mix(df: DataFrame, size: Column, sources: Column, id_col: str = "doc_id", weights: tuple = WEIGHTS, seed: int = 42) -> DataFrame:
+    """``df`` with mix_size, mix_source_size and mix_target (of its first source), mix_copies and mix_taken.
+
+    ``mix_taken`` is size times copies, at most three copies. The same rows give
+    the same mix whatever their order or partitions; rows that repeat an id are
+    taken or left together. Null ids are one id. Documents of size 0 are taken
+    as often as their neighbours in the order. Columns whose names begin with
+    ``mix_`` are dropped. Empty tables give no rows.
+    """
+    df = _without_own(df)
+    out = applied(df.withColumn("mix_size", size.cast("long")), plan(df, size, sources, id_col, weights, seed), sources, id_col, seed)
     return out.withColumn("mix_taken", F.col("mix_size") * F.col("mix_copies"))
 
 
-def _cutoffs(rows: DataFrame, key: Column, tie: Column) -> list[tuple]:
+def _without_own(df: DataFrame) -> DataFrame:
+    return df.drop(*(c for c in df.columns if c.lower().startswith("mix_")))
+
+
+def _cutoffs(rows: DataFrame) -> list[tuple]:
     """(pattern, key, tie) of the last document that each pattern's part pass takes: the one whose middle is within the rest."""
-    keyed = rows.select("mix_id", "mix_rest", "mix_size", key.alias("k"), tie.alias("t"), F.shiftright(key, 64 - RANGE_BITS).alias("r"))
+    keyed = rows.select("mix_id", "mix_rest", "mix_size", "k", "t", F.shiftright("k", 64 - RANGE_BITS).alias("r"))
     sums = keyed.groupBy("mix_id", "mix_rest", "r").agg(F.sum("mix_size").alias("n"))
     running = F.sum("n").over(Window.partitionBy("mix_id").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
     # The range in which the running sum passes the rest: one row a pattern.
@@ -171,9 +190,14 @@ def _cutoffs(rows: DataFrame, key: Column, tie: Column) -> list[tuple]:
     return list(found.values())
 
 
-def resampled(df: DataFrame, size: Column, sources: Column, **parameters) -> DataFrame:
-    """``df`` with each row as often as the mix takes it, without the mix's own columns."""
-    df = df.drop(*(c for c in df.columns if c.lower().startswith("mix_")))
-    mixed = mix(df, size, sources, **parameters)
-    times = F.explode(F.sequence(F.lit(1), F.col("mix_copies")))
+def resampled(df: DataFrame, size: Column, sources: Column, id_col: str = "doc_id", weights: tuple = WEIGHTS, seed: int = 42) -> DataFrame:
+    """``df`` with each row as often as the mix takes it, without the mix's own columns.
+
+    Sizes are made once, beside the ids and sources, and checkpointed for the plan.
+    """
+    df = _without_own(df)
+    narrow = checkpointed(df.select(F.col(id_col), size.cast("long").alias("mix_size"), sources.alias("mix_sources")))
+    planned = plan(narrow, F.col("mix_size"), F.col("mix_sources"), id_col, weights, seed)
+    mixed = applied(df, planned, sources, id_col, seed)
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))
     return mixed.where("mix_copies > 0").withColumn("mix_copy", times).select(*df.columns)

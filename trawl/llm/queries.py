@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm import fingerprint, html_wrapper, langid, licenses, mixing, packing, quality, secrets, simhash, url_filter
-from trawl.llm.common import read_table
+from trawl.llm.common import checkpointed, read_table
 
 #: (verdict, host and path) of the registered URL query.
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -58,7 +58,9 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    mixed = mixing.mix(docs, mixing.word_count(F.col("text")), F.array("source"))
+    # Words are counted once, and the plan's passes read the counts.
+    sized = checkpointed(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")))
+    mixed = mixing.mix(sized, F.col("words"), F.array("source"))
     names = {"mix_size": "size", "mix_source_size": "source_size", "mix_target": "target", "mix_taken": "taken"}
     return mixed.select("doc_id", *(F.col(a).alias(b) for a, b in names.items()))
 
