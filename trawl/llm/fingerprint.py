@@ -123,14 +123,18 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id are edited with nothing and have no next sketch. Texts are shuffled once,
     heads of a quarter of their length once.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    every = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Both joins below read these rows by id, and so share one shuffle of the texts.
+    docs = every.where("id is not null")
     pairs = followers(df, id_col)
-    lengths = docs.where("id is not null").groupBy("id").agg(F.max(F.length("text")).alias("most"))
+    lengths = docs.groupBy("id").agg(F.max(F.length("text")).alias("most"))
     asked = pairs.join(lengths, "id").select(F.col("next_id").alias("id"), F.col("id").alias("asker"), F.floor(F.col("most") / share).cast("int").alias("size"))
     one = docs.join(asked, "id").select("asker", "size", "text")
     heads = one.select("asker", F.substr("text", F.lit(1), F.col("size")).alias("head"), sketch(F.col("text"), k).alias("next_sketch"), F.xxhash64("text").alias("h"))
     heads = heads.withColumn("n", F.row_number().over(Window.partitionBy("asker").orderBy("head", "h"))).where("n = 1").drop("n", "h")
-    own = docs.join(heads, docs["id"] == heads["asker"], "left")
+    own = docs.join(heads, docs["id"] == heads["asker"]).select("id", "text", "head", "next_sketch")
+    alone = every.where("id is null").select("id", "text", F.lit("").alias("head"), F.lit(None).cast("array<bigint>").alias("next_sketch"))
+    own = own.union(alone)
     size = F.length("text")
     cut = F.floor(size / share).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), size - cut), F.coalesce(F.substr("head", F.lit(1), cut), F.lit("")))
