@@ -50,7 +50,7 @@ def test_chains_of_fingerprints(spark):
             w ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 2)))
             words.append(w)
     words = sorted({w - (1 << 64) if w >> 63 else w for w in words})
-    nodes = spark.createDataFrame([([w],) for w in words], "fp array<bigint>")
+    nodes = spark.createDataFrame([(w, [w]) for w in words], "node bigint, fp array<bigint>")
     found = {r.node: r.root for r in simhash.components(simhash.links(nodes)).collect()}
     want = roots(words, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 2)
     assert {w: found.get(w, w) for w in words} == want

@@ -145,25 +145,29 @@ def word_links(words: DataFrame, bits: int, radius: int) -> DataFrame:
 def links(
     nodes: DataFrame, bits: int = 64, tables: int = 1, radius: int = 2, max_distance: int | None = None, sketch: int = 0
 ) -> DataFrame:
-    """Verified (a, b) that connect everything linked; ``nodes`` has one row per distinct ``fp``.
+    """Verified (a, b) that connect everything linked; ``nodes`` has one row per distinct ``fp`` and its number ``node``.
 
-    With one table a and b are the words themselves. With more, they are whole
-    fingerprints: a pair counts when its words meet in any table and its words
-    (those of the sketch, where there is one) differ in at most ``max_distance``
-    bits; the holders of one word are represented by the smallest of them.
+    With one table a node is its word. With more, a pair counts when its words
+    meet in any table and its words (those of the sketch, where there is one)
+    differ in at most ``max_distance`` bits; the holders of one word are
+    represented by the smallest of them. Only numbers are shuffled until the
+    few candidate pairs fetch their fingerprints.
     """
-    spread = nodes.select("fp", F.posexplode(F.slice("fp", 1, tables)).alias("table", "word"))
+    spread = nodes.select("node", F.posexplode(F.slice("fp", 1, tables)).alias("table", "word"))
     if tables == 1:
         return word_links(spread.select("table", "word"), bits, radius).select("a", "b")
-    heads = spread.groupBy("table", "word").agg(F.min("fp").alias("head"))
-    same = spread.join(heads, ["table", "word"]).where("head <> fp").select(F.col("head").alias("a"), F.col("fp").alias("b"))
+    heads = spread.groupBy("table", "word").agg(F.min("node").alias("head"))
+    same = spread.join(heads, ["table", "word"]).where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
     met = word_links(heads.select("table", "word"), bits, radius)
     left = heads.select("table", F.col("word").alias("a"), F.col("head").alias("head_a"))
     right = heads.select("table", F.col("word").alias("b"), F.col("head").alias("head_b"))
     across = met.join(left, ["table", "a"]).join(right, ["table", "b"]).select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    # The candidates are few; written, they also keep the plan of what follows small.
+    pairs = checkpointed(same.union(across)).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     most = radius if max_distance is None else max_distance
-    told = (lambda c: F.slice(c, tables + 1, sketch)) if sketch else F.col
-    return same.union(across).where("a <> b").where(distance(told("a"), told("b")) <= most).distinct()
+    told = F.slice("fp", tables + 1, sketch) if sketch else F.col("fp")
+    first, second = nodes.select(F.col("node").alias("a"), told.alias("fa")), nodes.select(F.col("node").alias("b"), told.alias("fb"))
+    return pairs.join(first, "a").join(second, "b").where(distance(F.col("fa"), F.col("fb")) <= most).select("a", "b")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -209,15 +213,16 @@ def near_duplicates(
             raise ValueError("a sketch word has room for four tables")
     fp = free_name(df.select(id_col), "fp")
     docs = checkpointed(fingerprints(df.select(id_col, text_col), text_col, shingle, bits, tables, sketch, fp))
-    docs = docs.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
-    nodes = docs.groupBy("fp").agg(F.min("id").alias("least"))
-    found = links(nodes, bits, tables, radius, max_distance, sketch)
-    roots = components(found)
-    key = F.col("fp")[0] if tables == 1 else F.col("fp")
-    rooted = nodes.withColumn("node", key).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # One word numbers itself; longer fingerprints are numbered by a 64-bit hash.
+    node = F.col("fp")[0] if tables == 1 else F.xxhash64("fp")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(fp).alias("fp")).withColumn("node", node)
+    nodes = docs.groupBy("node").agg(F.first("fp").alias("fp"))
+    roots = components(links(nodes.select("node", "fp"), bits, tables, radius, max_distance, sketch))
+    least = docs.groupBy("node").agg(F.min("id").alias("least"))
+    rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(best, "root").select(F.col("fp").alias("fp_"), "component_id")
-    joined = docs.join(named, docs["fp"] == named["fp_"], "left").drop("fp_")
+    named = rooted.join(best, "root").select(F.col("node").alias("node_"), "component_id")
+    joined = docs.join(named, docs["node"] == named["node_"], "left").drop("node_")
     return joined.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
