@@ -95,3 +95,14 @@ def test_majority():
     h = np.array([1, 3, 2**63], np.uint64)
     assert simhash.majority(h, 64) == 1 and simhash.majority(h[:0], 64) == 0
     assert simhash.majority(np.array([5, 5, 2], np.uint64), 2) == 1
+
+
+def test_rows_without_or_with_shared_ids_are_kept_by_component(spark):
+    texts = [f"text {w} about {w} and nothing like the others {w}{w}" for w in ("amber", "birch", "cedar", "delta", "ember", "fjord")]
+    ids = [None, None, 7, 7, 7, 8]
+    rows = [*zip(ids, texts, strict=True), (9, texts[0]), (7, texts[5]), (7, texts[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # One row a text: its smallest id, and no id only where it has none.
+    want = sorted([("9", texts[0]), ("None", texts[1]), *(("7", t) for t in texts[2:])])
+    for how in (simhash.keep_representatives,):
+        assert sorted((str(r.doc_id), r.text) for r in how(df).collect()) == want

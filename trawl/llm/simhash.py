@@ -193,6 +193,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not converge in {max_rounds} rounds")
 
 
+def rooted(
+    df: DataFrame, id_col: str, text_col: str, shingle: int, bits: int, tables: int, radius: int, max_distance: int | None, sketch: int,
+    keyed: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(id, fp, node) per row, with the hash ``key`` of its text when ``keyed``, and (node, least, root) per distinct fingerprint."""
+    if radius % 2 or not 0 < bits <= 64:
+        raise ValueError("radius must be even and bits within 1..64")
+    if sketch:
+        bits = KEYED_BITS
+        if tables > sketch * _PER_WORD:
+            raise ValueError("a sketch word has room for four tables")
+    columns = [F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.xxhash64(text_col).alias("key")] if keyed else [])]
+    docs = checkpointed(fingerprints(df.select(*columns), "text", shingle, bits, tables, sketch))
+    # One word numbers itself; longer fingerprints are numbered by a 64-bit hash.
+    docs = docs.withColumn("node", F.col("fp")[0] if tables == 1 else F.xxhash64("fp"))
+    nodes = docs.groupBy("node").agg(F.first("fp").alias("fp"))
+    roots = components(links(nodes.select("node", "fp"), bits, tables, radius, max_distance, sketch))
+    least = docs.groupBy("node").agg(F.min("id").alias("least"))
+    return docs, least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 64, tables: int = 1,
     radius: int = 2, max_distance: int | None = None, sketch: int = 0,
@@ -205,23 +226,9 @@ def near_duplicates(
     other. A null id never becomes a component's id unless all its ids are null.
     An empty table gives an empty result.
     """
-    if radius % 2 or not 0 < bits <= 64:
-        raise ValueError("radius must be even and bits within 1..64")
-    if sketch:
-        bits = KEYED_BITS
-        if tables > sketch * _PER_WORD:
-            raise ValueError("a sketch word has room for four tables")
-    fp = free_name(df.select(id_col), "fp")
-    docs = checkpointed(fingerprints(df.select(id_col, text_col), text_col, shingle, bits, tables, sketch, fp))
-    # One word numbers itself; longer fingerprints are numbered by a 64-bit hash.
-    node = F.col("fp")[0] if tables == 1 else F.xxhash64("fp")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(fp).alias("fp")).withColumn("node", node)
-    nodes = docs.groupBy("node").agg(F.first("fp").alias("fp"))
-    roots = components(links(nodes.select("node", "fp"), bits, tables, radius, max_distance, sketch))
-    least = docs.groupBy("node").agg(F.min("id").alias("least"))
-    rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(best, "root").select(F.col("node").alias("node_"), "component_id")
+    docs, nodes = rooted(df, id_col, text_col, shingle, bits, tables, radius, max_distance, sketch)
+    best = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = nodes.join(best, "root").select(F.col("node").alias("node_"), "component_id")
     joined = docs.join(named, docs["node"] == named["node_"], "left").drop("node_")
     return joined.select(F.col("id").alias(id_col), "fp", "component_id")
 
@@ -231,14 +238,26 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp[0]), 16, "0"))
 
 
-def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """``df`` with one row per component: the one with the smallest id; of rows that repeat this id, one.
+def one_per_root(df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with one row per root of ``rows`` (id, key, root): the smallest id that is not null, then the smallest key.
 
-    Rows whose id is null are kept only where a component has no other id.
+    ``key`` is the hash of the row's text, so rows that share an id, or have none, are told apart.
     """
-    cols = df.columns
-    near = near_duplicates(df, id_col, text_col, **parameters).select("component_id").distinct()
-    kept = df.join(near, df[id_col].eqNullSafe(near["component_id"]), "left_semi")
-    return kept.dropDuplicates([id_col]).select(*cols)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")
+    best = rows.groupBy("root").agg(first).select(F.col("best.id").alias("best_id"), F.col("best.key").alias("best_key"))
+    key = free_name(df, "key")
+    marked = df.withColumn(key, F.xxhash64(text_col))
+    kept = marked.join(best, marked[id_col].eqNullSafe(best["best_id"]) & (marked[key] == best["best_key"]), "left_semi")
+    return kept.dropDuplicates([id_col, key]).select(*df.columns)
+
 
+def keep_representatives(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 64, tables: int = 1,
+    radius: int = 2, max_distance: int | None = None, sketch: int = 0,
+) -> DataFrame:
+    """``df`` with one row per component: the one with the smallest id, whether or not other components hold rows with this id.
 
+    A row whose id is null is kept only where a component has no other id.
+    """
+    docs, nodes = rooted(df, id_col, text_col, shingle, bits, tables, radius, max_distance, sketch, keyed=True)
+    return one_per_root(df, docs.join(nodes.select("node", "root"), "node").select("id", "key", "root"), id_col, text_col)
