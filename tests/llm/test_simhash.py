@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from tests.conftest import SMALL
-from trawl.llm import queries, simhash
+from trawl.llm import jaccard, queries, simhash
 
 
 def fingerprint(text):
@@ -104,5 +104,5 @@ def test_rows_without_or_with_shared_ids_are_kept_by_component(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     # One row a text: its smallest id, and no id only where it has none.
     want = sorted([("9", texts[0]), ("None", texts[1]), *(("7", t) for t in texts[2:])])
-    for how in (simhash.keep_representatives,):
+    for how in (simhash.keep_representatives, jaccard.keep_representatives):
         assert sorted((str(r.doc_id), r.text) for r in how(df).collect()) == want
