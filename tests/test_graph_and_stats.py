@@ -52,7 +52,7 @@ def test_pagerank_against_dense(spark):
     assert np.allclose(r, x, atol=1e-12)
 
 
-def test_degrees_and_ranks(spark):
+def test_degrees_and_ranks(spark, monkeypatch):
     e = spark.createDataFrame([(0, 0), (1, 1), (1, 2)], "src long, dst long")
     assert [r.in_degree for r in links.in_degree(spark.range(4), e).orderBy("id").collect()] == [1, 1, 1, 0]
     df = spark.createDataFrame([(0, 10), (1, 20), (2, 20), (3, 5)], "id long, v long")
@@ -63,6 +63,9 @@ def test_degrees_and_ranks(spark):
     assert stats.mcnemar_exact(0, 0) == 1.0 and abs(stats.mcnemar_exact(1, 5) - 0.21875) < 1e-12
     low, high = stats.bootstrap_interval(spark.range(100), (F.col("id") % 2).cast("double"))
     assert 0.35 < low < 0.5 < high < 0.65
+    monkeypatch.setattr(stats, "MOST_VALUES", 1)
+    low, high = stats.bootstrap_interval(spark.range(100), (F.col("id") % 2).cast("double"), 1000)
+    assert 0.35 < low < 0.5 < high < 0.65
     assert stats.weighted_sample(t, "a", 2).count() == 2
 
 
@@ -135,6 +138,24 @@ def test_blocks(spark):
     assert found(3) == {1} and found(8) == {1, 2, 3}
 
 
+def test_longer_keys_find_the_same_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    values = base + [b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 10))) for b in base for _ in range(4)]
+    df = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)], "doc_id long, simhash long")
+    first = {}
+    for i, v in enumerate(values):
+        first.setdefault(v, i)
+    want = {(a, b, (x ^ y).bit_count()) for x, b in first.items() for y, a in first.items() if b < a and (x ^ y).bit_count() <= 8}
+    for k in (1, 2, 3):
+        monkeypatch.setattr(dedup, "agreeing", lambda n, m, k=k: k)
+        got = dedup.candidates(df).collect()
+        assert {(r.later, r.earlier, r.bits) for r in got} == want
+        assert all(r.block == next(i for i in range(9) if (values[r.later] ^ values[r.earlier]) >> 7 * i & (127 if i < 8 else 255) == 0) for r in got)
+    assert {r.doc_id: r.representative for r in dedup.classes(df).collect()} == {i: first[v] for i, v in enumerate(values)}
+    assert len(want) > 60
+
+
 def test_crawl(spark, tmp_path):
     page = lambda body, *out: f"<html><title>t</title><body><p>{body}</p>" + "".join(f'<a href="{o}">l</a>' for o in out) + "</body></html>"
     text = lambda s: " ".join(f"{s}{i}" for i in range(60))
@@ -146,7 +167,7 @@ def test_crawl(spark, tmp_path):
     responses = spark.createDataFrame([(u, s, h, None, "text/html", float(i)) for i, (u, s, h) in enumerate(rows)], "url string, status int, html string, final_url string, content_type string, fetched_at double")
     robots = spark.createDataFrame([("a.com", 200, "User-agent: *\nDisallow: /private/")], "host string, status int, text string")
     seeds = spark.createDataFrame([("http://a.com/",)], "url string")
-    pages, edges = crawl.crawl(seeds, responses, robots)
+    pages, edges, _ = crawl.crawl(seeds, responses, robots)
     got = {r.url: (r.depth, r.dup_kind) for r in pages.collect()}
     assert got == {"http://a.com/": (0, None), "http://a.com/b": (1, None), "http://a.com/copy": (1, "exact"), "http://a.com/c": (2, None)}
     one = crawl.crawl_stats(pages, edges).first()
@@ -189,6 +210,6 @@ def test_streams(spark, tmp_path):
     stateful.sink_once(stateful.first_seen(read()), str(tmp_path / "a"), str(tmp_path / "ca")).awaitTermination()
     got = {r.url: r.dup_of for r in spark.read.parquet(str(tmp_path / "a")).collect()}
     assert got["u2"] is None and got["u4"] is None and {got["u1"], got["u3"]} in ({None, "u1"}, {None, "u3"})
-    stateful.sink_once(stateful.fetch_slots(read(), 0.5), str(tmp_path / "b"), str(tmp_path / "cb")).awaitTermination()
+    stateful.sink_once(stateful.fetch_slots(read(), 0.5, forget_after=3_600_000), str(tmp_path / "b"), str(tmp_path / "cb")).awaitTermination()
     slots = sorted(r.earliest for r in spark.read.parquet(str(tmp_path / "b")).where("host = 'h'").collect())
     assert slots == [0.0, 0.5, 1.0]

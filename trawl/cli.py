@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from trawl.operators import crawl, links, query, rank
 from trawl.operators import index as ix
-from trawl.operators.session import build_session, ship_package
+from trawl.operators.session import build_session
 from trawl.sources import readers, sinks
 
 
 def parser() -> argparse.ArgumentParser:
+    # Concurrency, CPU workers and a contact address are a fetcher's own; here responses are a table, so these options don't exist.
     top = argparse.ArgumentParser(prog="trawl")
     sub = top.add_subparsers(dest="command", required=True)
     c = sub.add_parser("crawl", help="process a table of responses as a crawl from the seeds")
@@ -53,16 +54,16 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = build_session()
-    ship_package(spark)
     if args.command == "crawl":
         config = crawl.CrawlConfig(max_pages=args.max_pages, max_depth=args.max_depth, delay=args.delay, anywhere=args.anywhere)
         began = time.time()
         robots = spark.read.parquet(args.robots) if args.robots else None
         seeds = spark.createDataFrame([(s,) for s in args.seed], "url string")
-        pages, edges = crawl.crawl(seeds, spark.read.parquet(args.responses), robots, config)
-        sinks.write_table(pages, f"{args.db}/pages")
-        sinks.write_table(edges, f"{args.db}/links")
-        one = crawl.crawl_stats(spark.read.parquet(f"{args.db}/pages"), spark.read.parquet(f"{args.db}/links")).first().asDict()
+        done = crawl.crawl(seeds, spark.read.parquet(args.responses), robots, config)
+        sinks.write_table(done.pages, f"{args.db}/pages")
+        sinks.write_table(done.links, f"{args.db}/links")
+        one = crawl.fetch_stats(done.fetches).first().asDict()
+        one |= crawl.crawl_stats(spark.read.parquet(f"{args.db}/pages"), spark.read.parquet(f"{args.db}/links")).first().asDict()
         sinks.log_run(spark, f"{args.db}/runs", one, began)
         print(one)
     elif args.command == "crawl-stats":

@@ -77,6 +77,29 @@ def duplicate_quality(found: DataFrame, truth: DataFrame) -> DataFrame:
     return both.select("found", "true", "right", F.when(F.col("found") > 0, F.col("right") / F.col("found")).otherwise(1.0).alias("precision"), F.when(F.col("true") > 0, F.col("right") / F.col("true")).otherwise(1.0).alias("recall"))
 
 
+def duplicate_clusters(pages: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: flagged, right, copies, found, precision, recall of duplicate marks against true clusters.
+
+    ``pages`` (url, dup_of) are those that were stored, ``truth`` (url, cluster).
+    A mark is right when both pages are of one cluster; of each cluster with n
+    stored pages n - 1 are copies that should be marked. Rates of nothing are 1.
+    """
+    named = pages.select("url", "dup_of").join(truth.select("url", "cluster"), "url")
+    other = truth.select(F.col("url").alias("dup_of"), F.col("cluster").alias("c"))
+    marks = named.where("dup_of is not null").join(other, "dup_of", "left")
+    told = marks.agg(F.count("*").alias("flagged"), F.count_if(F.col("cluster") == F.col("c")).alias("right"))
+    copies = named.groupBy("cluster").agg((F.count("*") - 1).alias("n"), F.count("dup_of").alias("f"))
+    there = copies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("copies"), F.coalesce(F.sum(F.least("n", "f")), F.lit(0)).alias("found"))
+    one = told.crossJoin(there)  # one row each
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(1.0)
+    return one.select("flagged", "right", "copies", "found", rate("right", "flagged").alias("precision"), rate("found", "copies").alias("recall"))
+
+
+def politeness_violations(gaps: DataFrame, delay: float) -> int:
+    """Hosts of ``host_gaps`` whose least gap is under the delay."""
+    return gaps.where(F.col("min_gap") < delay).count()
+
+
 def compare_to(measured: DataFrame, published: dict[str, float]) -> DataFrame:
     """measured (dataset, ndcg) with the published value and the difference."""
     table = measured.sparkSession.createDataFrame(list(published.items()), "dataset string, published double")

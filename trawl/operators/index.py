@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import text as tx
+from trawl.operators import ordered
 
 SKIP_MIN_DF, SKIP_EVERY = 1024, 128
 
@@ -54,16 +55,44 @@ def vbyte_size(x: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(x)) / 7)).cast("long")
 
 
+def vbyte_encode(numbers: Column) -> Column:
+    """An array of non-negative numbers as bytes: 7 bits a byte, low ones first, the top bit on all but a number's last byte."""
+    byte = lambda x, i, last: F.lpad(F.hex(F.shiftrightunsigned(x, 7 * i).bitwiseAND(127).bitwiseOR(0 if last else 128)), 2, "0")
+
+    def one(x: Column) -> Column:
+        size = vbyte_size(x)
+        out = F.lit("")
+        for n in range(9, 0, -1):
+            out = F.when(size == n, F.concat(*(byte(x, i, i == n - 1) for i in range(n)))).otherwise(out)
+        return out
+
+    return F.unhex(F.array_join(F.transform(numbers, one), ""))
+
+
+def vbyte_decode(data: Column) -> Column:
+    """The numbers of ``vbyte_encode``."""
+    digits = F.regexp_extract_all(F.hex(data), F.lit("((?:[89A-F][0-9A-F])*[0-7][0-9A-F])"), F.lit(1))
+    low = lambda hexes, i: F.conv(F.substr(hexes, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint").bitwiseAND(127)
+
+    def number(hexes: Column) -> Column:
+        at = F.sequence(F.lit(0), (F.length(hexes) / 2).cast("int") - 1)
+        # The last byte is the highest.
+        return F.aggregate(F.reverse(at), F.lit(0).cast("bigint"), lambda total, i: F.shiftleft(total, 7) + low(hexes, i))
+
+    return F.transform(digits, number)
+
+
 def docid_gaps(posting_rows: DataFrame) -> DataFrame:
     """(term, doc_id, gap): each document's distance from the one before, from 0."""
-    before = F.lag("doc_id", 1, 0).over(Window.partitionBy("term").orderBy("doc_id"))
-    return posting_rows.select("term", "doc_id", (F.col("doc_id") - before).alias("gap"))
+    rows = ordered.dealt(posting_rows.select("term", "doc_id"), ["term"], ["doc_id"])
+    before = ordered.previous(rows, ["term"], ["doc_id"], "doc_id", "before")
+    return before.select("term", "doc_id", (F.col("doc_id") - F.coalesce("before", F.lit(0))).alias("gap"))
 
 
 def from_gaps(gaps: DataFrame) -> DataFrame:
     """(term, doc_id) again, by running sums in document order."""
-    w = Window.partitionBy("term").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return gaps.select("term", F.sum("gap").over(w).alias("doc_id"))
+    rows = ordered.dealt(gaps, ["term"], ["doc_id"])
+    return ordered.running_sum(rows.withColumnRenamed("doc_id", "at"), ["term"], ["at"], "gap", "doc_id").select("term", "doc_id")
 
 
 def position_gaps(positions: Column) -> Column:
@@ -74,8 +103,8 @@ def position_gaps(positions: Column) -> Column:
 def skip_points(posting_rows: DataFrame, lex: DataFrame, min_df: int = SKIP_MIN_DF, every: int = SKIP_EVERY) -> DataFrame:
     """(term, n, doc_id): every ``every``-th document of the frequent terms."""
     often = posting_rows.join(lex.where(F.col("df") >= min_df).select("term"), "term", "left_semi")
-    n = F.row_number().over(Window.partitionBy("term").orderBy("doc_id")) - 1
-    return often.select("term", "doc_id", n.alias("n")).where(F.col("n") % every == 0).select("term", "n", "doc_id")
+    rows = ordered.row_numbers(ordered.dealt(often.select("term", "doc_id"), ["term"], ["doc_id"]), ["term"], ["doc_id"], "n")
+    return rows.select("term", (F.col("n") - 1).alias("n"), "doc_id").where(F.col("n") % every == 0)
 
 
 def index_stats(docs: DataFrame, posting_rows: DataFrame) -> DataFrame:
@@ -118,8 +147,10 @@ class Index:
         return row.asDict() if row else None
 
 
-def build(docs: DataFrame, analyzer: str = "plain", exact: bool = True) -> Index:
-    """Index of docs (doc_id, text and, when they have them, url and title). The title precedes the text."""
+def build(docs: DataFrame, analyzer: str = "plain", exact: bool = True, keep_text: bool = True) -> Index:
+    """Index of docs (doc_id, text and, when they have them, url and title). The title precedes the text.
+
+    Documents keep their texts unless told otherwise."""
     if analyzer not in tx.ANALYZERS:
         raise ValueError(f"unknown analyzer {analyzer!r}")
     cols = set(docs.columns)
@@ -127,7 +158,7 @@ def build(docs: DataFrame, analyzer: str = "plain", exact: bool = True) -> Index
     full = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), body) if "title" in cols else body
     rows = postings(docs.withColumn("_full", full), analyzer, "_full", exact)
     table = docs.join(rows.groupBy("doc_id").agg(F.sum("tf").alias("_l")), "doc_id", "left")
-    table = table.withColumns({"length": F.coalesce("_l", F.lit(0)), "raw_bytes": F.octet_length(body)}).drop("_l")
+    table = table.withColumns({"length": F.coalesce("_l", F.lit(0)), "raw_bytes": F.octet_length(body)}).drop("_l", *([] if keep_text else ["text"]))
     return Index(rows, table, lexicon(rows), analyzer, exact=exact)
 
 

@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "trawl", **conf: str) -> SparkSession:
-    """A session with the settings that the engine expects; ``conf`` (dots as __) overrides."""
+    """A session with the settings that the engine expects, the package on its executors; ``conf`` (dots as __) overrides."""
     wanted = {
         "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.parquet.compression.codec": "zstd",
     }
+    wanted["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     wanted |= {k.replace("__", "."): v for k, v in conf.items()}
-    return SparkSession.builder.appName(name).config(map=wanted).getOrCreate()
+    spark = SparkSession.builder.appName(name).config(map=wanted).getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share; on a local master only, a temporary one stands in."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        wanted = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not wanted and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="trawl-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trawl-checkpoint-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -5,9 +5,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawl.operators import ordered
+
+#: Distinct differences that reach the driver.
+MOST_VALUES = 100_000
+
 
 def average_ranks(df: DataFrame, value: str, out: str = "avg_rank") -> DataFrame:
     """``df`` with ranks from 1, ties sharing their mean.
@@ -43,15 +50,15 @@ def top_k_overlap(df: DataFrame, a: str, b: str, k: int, id_col: str = "id") ->
 def nearest_rank(df: DataFrame, group: str, value: str, percents: list[float]) -> DataFrame:
     """(group, p, value): element min(n - 1, floor(p n / 100)) of the sorted values, no interpolation.
 
-    Values are counted per group, so a group's array has its distinct values only.
+    Distinct values are counted and summed over ranges, so a group of any size is spread over tasks.
     """
     counted = df.groupBy(group, value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(Window.partitionBy(group))
-    placed = counted.withColumns({"upto": upto, "total": total})
-    wanted = placed.select(group, value, "upto", "n", "total", F.explode(F.array(*[F.lit(float(p)) for p in percents])).alias("p"))
-    at = F.least(F.col("total") - 1, F.floor(F.col("p") / 100 * F.col("total")))
-    return wanted.where((at < F.col("upto")) & (at >= F.col("upto") - F.col("n"))).select(group, "p", F.col(value).alias("value"))
+    placed = ordered.running_sum(ordered.dealt(counted, [group], [value]), [group], [value], "n", "upto").drop(ordered.RANGE)
+    total = counted.groupBy(F.col(group).alias("_g")).agg(F.sum("n").alias("total"))
+    wanted = total.select("_g", F.explode(F.array(*[F.lit(float(p)) for p in percents])).alias("p"), "total")
+    wanted = wanted.withColumn("at", F.least(F.col("total") - 1, F.floor(F.col("p") / 100 * F.col("total"))))
+    met = placed.join(wanted, F.col(group).eqNullSafe(F.col("_g")))
+    return met.where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))).select(group, "p", F.col(value).alias("value"))
 
 
 def mcnemar_exact(fixed: int, broken: int) -> float:
@@ -69,18 +76,43 @@ def mcnemar(df: DataFrame, before: Column, after: Column) -> tuple[int, int, flo
 def bootstrap_interval(df: DataFrame, difference: Column, resamples: int = 5000, seed: int = 42) -> tuple[float, float]:
     """2.5 and 97.5 percentiles of the mean difference over resamples.
 
-    Only the counts of the distinct differences reach the driver; resampling
-    rows is drawing those counts from a multinomial.
+    Resampling rows is drawing the counts of the distinct differences from a
+    multinomial. Up to ``MOST_VALUES`` of them reach the driver; with more, each
+    row draws a Poisson count for each resample where it lies, and only the sums
+    of the resamples do.
     """
-    rows = df.groupBy(difference.alias("d")).count().collect()
-    values, counts = np.array([r.d for r in rows], float), np.array([r["count"] for r in rows])
-    if not len(rows):
+    counts = df.groupBy(difference.alias("d")).count()
+    rows = counts.limit(MOST_VALUES + 1).collect()
+    if not rows:
         return 0.0, 0.0
-    drawn = np.random.default_rng(seed).multinomial(counts.sum(), counts / counts.sum(), resamples)
-    low, high = np.percentile(drawn @ values / counts.sum(), [2.5, 97.5])
+    if len(rows) > MOST_VALUES:
+        means = _poisson_means(df.select(difference.cast("double").alias("d")), resamples, seed)
+    else:
+        values, held = np.array([r.d for r in rows], float), np.array([r["count"] for r in rows])
+        means = np.random.default_rng(seed).multinomial(held.sum(), held / held.sum(), resamples) @ values / held.sum()
+    low, high = np.percentile(means, [2.5, 97.5])
     return float(low), float(high)
 
 
+def _poisson_means(rows: DataFrame, resamples: int, seed: int) -> np.ndarray:
+    """The mean of each of the resamples of a large column."""
+
+    def run(batches):
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        sums, held = np.zeros(resamples), np.zeros(resamples)
+        for batch in batches:
+            d = batch.column(0).to_numpy(zero_copy_only=False)
+            for i in range(0, len(d), 512):
+                drawn = rng.poisson(1.0, (resamples, len(d[i : i + 512])))
+                sums += drawn @ d[i : i + 512]
+                held += drawn.sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(sums), pa.array(held)], ["k", "s", "n"])
+
+    parts = rows.where("d is not null").mapInArrow(run, "k long, s double, n double")
+    summed = parts.groupBy("k").agg((F.sum("s") / F.greatest(F.sum("n"), F.lit(1.0))).alias("m"))
+    return np.array([r.m for r in summed.collect()])
+
+
 def weighted_sample(df: DataFrame, weight: str, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
     """``n`` rows without replacement, probability by weight (exponential keys from a hash of the id)."""
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) + 0.5) / (1 << 30)

@@ -7,6 +7,8 @@ Doubles are rounded to six digits before they order anything.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ from trawl.functions import text as tx
 from trawl.functions import urls
 from trawl.operators import crawl, dedup, evaluation, links, query, rank, stats
 from trawl.operators import index as ix
+from trawl.operators.session import checkpoint_folder
 from trawl.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,13 +54,17 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text")
 
 
+_OPENED: dict[tuple[str, str], ix.Index] = {}
+
+
 def opened(spark: SparkSession, d: str) -> ix.Index:
-    """Index of ``documents``. Plans that read it apply their term filter before the postings are grouped."""
-    docs = documents(spark, d)
-    rows = ix.postings(docs, exact=False)
-    # Lengths need no postings, and nothing downstream reads the texts.
-    lengths = docs.select("doc_id", F.size(tx.tokens(F.col("text"), exact=False)).cast("long").alias("length"))
-    return ix.Index(rows, lengths, ix.lexicon(rows), "plain", exact=False)
+    """Index of ``documents``: built once an application into the checkpoint folder and read from there, files pruned by term."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _OPENED:
+        path = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+        ix.save(ix.build(documents(spark, d), exact=False, keep_text=False), path)
+        _OPENED[key] = ix.load(spark, path)
+    return _OPENED[key]
 
 
 # --- text and index -------------------------------------------------------------------------------------------------
@@ -93,63 +100,72 @@ def q_tokens_english(spark, d):
 
 @registered(f"WITH {POST} SELECT term, doc_id, tf, array_to_string(positions, ' ') AS positions FROM p")
 def q_postings(spark, d):
-    return ix.postings(documents(spark, d), exact=False).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
+    return opened(spark, d).postings.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
 
 
 @registered(f"WITH {TOK} SELECT doc_id, len(l)::BIGINT AS length FROM l")
 def q_doc_lengths(spark, d):
-    docs = documents(spark, d)
-    return ix.doc_lengths(docs, ix.postings(docs, exact=False))
+    return ix.doc_lengths(documents(spark, d).select("doc_id"), opened(spark, d).postings)
 
 
 @registered(f"WITH {LEX} SELECT term, df, cf FROM x")
 def q_lexicon(spark, d):
-    return ix.lexicon(ix.postings(documents(spark, d), exact=False))
+    return ix.lexicon(opened(spark, d).postings)
 
 
 @registered(f"WITH {LEX} SELECT term, df, cf FROM x ORDER BY df DESC, term LIMIT 50")
 def q_top_terms(spark, d):
-    return ix.lexicon(ix.postings(documents(spark, d), exact=False)).orderBy(F.desc("df"), "term").limit(50)
+    return ix.lexicon(opened(spark, d).postings).orderBy(F.desc("df"), "term").limit(50)
 
 
 @registered(f"""WITH {LEX}, s AS (SELECT count(*) AS terms, sum(df)::BIGINT AS postings, sum(cf)::BIGINT AS tokens FROM x)
 SELECT (SELECT count(*) FROM documents) AS docs, tokens, terms, postings, 4 * (2 * postings + tokens) AS uncompressed_bytes,
 round(tokens / (SELECT count(*) FROM documents), 6) AS avg_doc_length FROM s""")
 def q_index_stats(spark, d):
-    docs = documents(spark, d)
-    return ix.index_stats(docs, ix.postings(docs, exact=False)).withColumn("avg_doc_length", F.round("avg_doc_length", 6))
+    return ix.index_stats(documents(spark, d).select("doc_id"), opened(spark, d).postings).withColumn("avg_doc_length", F.round("avg_doc_length", 6))
 
 
 @registered(f"WITH {TOK} SELECT term, doc_id, pos::INT AS pos, (pos - lag(pos, 1, 0) OVER (PARTITION BY term, doc_id ORDER BY pos))::INT AS gap FROM t")
 def q_position_gaps(spark, d):
-    rows = ix.postings(documents(spark, d), exact=False).withColumn("gaps", ix.position_gaps(F.col("positions")))
+    rows = opened(spark, d).postings.withColumn("gaps", ix.position_gaps(F.col("positions")))
     both = rows.select("term", "doc_id", F.explode(F.arrays_zip("positions", "gaps")).alias("z"))
     return both.select("term", "doc_id", F.col("z.positions").alias("pos"), F.col("z.gaps").alias("gap"))
 
 
 @registered(f"WITH {POST} SELECT term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS gap FROM p")
 def q_docid_gaps(spark, d):
-    return ix.docid_gaps(ix.postings(documents(spark, d), exact=False))
+    return ix.docid_gaps(opened(spark, d).postings)
 
 
 @registered(f"WITH {POST} SELECT term, doc_id FROM p")
 def q_docid_gaps_roundtrip(spark, d):
     # The gap rows keep no document id but as their order.
-    return ix.from_gaps(ix.docid_gaps(ix.postings(documents(spark, d), exact=False)))
+    return ix.from_gaps(ix.docid_gaps(opened(spark, d).postings))
 
 
 @registered(f"""WITH {POST}, g AS (SELECT doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS g, tf FROM p)
 SELECT sum(greatest(1, ceil(length(bin(g)) / 7.0)))::BIGINT AS docid_bytes, sum(greatest(1, ceil(length(bin(tf)) / 7.0)))::BIGINT AS tf_bytes FROM g""")
 def q_vbyte_size(spark, d):
-    rows = ix.postings(documents(spark, d), exact=False)
+    rows = opened(spark, d).postings
     both = ix.docid_gaps(rows).agg(F.sum(ix.vbyte_size(F.col("gap"))).alias("docid_bytes"))
     return both.crossJoin(rows.agg(F.sum(ix.vbyte_size(F.col("tf"))).alias("tf_bytes")))  # one row each
 
 
+@registered(f"WITH {POST} SELECT term, doc_id, array_to_string(positions, ' ') AS positions, sum(greatest(1, ceil(length(bin(g)) / 7.0)))::BIGINT AS bytes FROM (SELECT *, unnest(list_transform(positions, lambda x, i: x - coalesce(positions[i - 1], 0))) AS g FROM p) GROUP BY term, doc_id, positions")
+def q_vbyte_roundtrip(spark, d):
+    rows = opened(spark, d).postings
+    coded = rows.select("term", "doc_id", ix.vbyte_encode(ix.position_gaps(F.col("positions").cast("array<bigint>"))).alias("data"))
+    # Nothing but the bytes is read back; positions are running sums of the gaps.
+    gaps = ix.vbyte_decode(F.col("data"))
+    sums = F.transform(F.sequence(F.lit(1), F.size("g")), lambda n: F.aggregate(F.slice("g", 1, n), F.lit(0).cast("bigint"), lambda t, x: t + x))
+    out = coded.select("term", "doc_id", F.octet_length("data").cast("bigint").alias("bytes"), gaps.alias("g"))
+    return out.select("term", "doc_id", F.array_join(sums.cast("array<string>"), " ").alias("positions"), "bytes")
+
+
 @registered(f"""WITH {LEX}, r AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS n FROM p JOIN x USING (term) WHERE df >= 100)
 SELECT term, n, doc_id FROM r WHERE n % 32 = 0""")
 def q_skip_points(spark, d):
-    rows = ix.postings(documents(spark, d), exact=False)
+    rows = opened(spark, d).postings
     return ix.skip_points(rows, ix.lexicon(rows), 100, 32).withColumn("n", F.col("n").cast("long"))
 
 
@@ -439,12 +455,12 @@ def qrels(spark: SparkSession, d: str) -> DataFrame:
     it; only these are searched for the text.
     """
     docs, items = documents(spark, d), table(spark, d, "benchmark", "item_id", "text")
-    rows = tx.positions(docs, exact=False).select("doc_id", "term").distinct()
+    index = opened(spark, d)
+    rows = index.postings.select("doc_id", "term")
     words = tx.positions(items.withColumnRenamed("item_id", "doc_id"), exact=False)
     last = words.groupBy("doc_id").agg(F.max("pos").alias("last"))
     inner = words.join(last, "doc_id").where("pos > 0 and pos < last").select(F.col("doc_id").alias("qid"), "term")
-    often = rows.groupBy("term").agg(F.count("*").alias("df"))
-    rarest = inner.distinct().join(often, "term").groupBy("qid").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    rarest = inner.distinct().join(index.lexicon.select("term", "df"), "term").groupBy("qid").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     may = rarest.join(rows, "term").join(items.select(F.col("item_id").alias("qid"), F.col("text").alias("item")), "qid").join(docs, "doc_id")
     labels = table(spark, d, "labels", "doc_id", "quality")
     return may.where(F.contains("text", "item")).join(labels, "doc_id", "left").select("qid", F.col("doc_id").alias("docid"), (1 + F.coalesce("quality", F.lit(0))).alias("grade"))
@@ -520,18 +536,33 @@ def q_pages_per_host(spark, d):
     return table(spark, d, "pages", "url").groupBy(urls.host_of(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
-@registered()
+BARE = r"regexp_replace(html, '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>|<title>.*?</title>', '', 'g')"
+DECODED = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#x27;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
+def lined(html: str) -> str:
+    """SQL of the text of markup: breaking elements end lines, white space is one space, blank lines go."""
+    out = f"regexp_replace(regexp_replace({html}, '</?(p|div|br|li|h1|h2|article)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    for name, value in DECODED:
+        out = f"replace({out}, '{name}', '{value}')"
+    return f"array_to_string(list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(regexp_replace(x, '[ ]+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
+
+
+@registered(f"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '[ ]+', ' ', 'g')) AS title, {lined(BARE)} AS text,
+NULL::VARCHAR AS canonical, FALSE AS noindex, FALSE AS nofollow FROM pages""")
 def q_html_extract(spark, d):
     page = pg.parsed_udf()("html", "url").alias("page")
     return table(spark, d, "pages", "page_id", "url", "html").select("page_id", page).select("page_id", "page.title", "page.text", "page.canonical", "page.noindex", "page.nofollow")
 
 
-@registered()
+@registered(f"""SELECT page_id, {lined(f"regexp_replace({BARE}, '(?s)<nav>.*?</nav>|<footer>.*?(</footer>|$)', '', 'g')")} AS main_text FROM pages""")
 def q_html_main_text(spark, d):
     return pg.analyzed(table(spark, d, "pages", "page_id", "url", "html")).select("page_id", F.col("body").alias("main_text"))
 
 
-@registered()
+@registered("""SELECT page_id, (n - 1)::INT AS n, link FROM (SELECT page_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS link FROM (SELECT page_id,
+list_transform(list_filter(x, lambda v, i: list_position(x, v) = i), lambda v: lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+')) || replace(replace(url_encode(v), '%2F', '/'), '%2C', ',')) AS l
+FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS x FROM pages)))""")
 def q_page_outlinks(spark, d):
     page = pg.parsed_udf()("html", "url").alias("page")
     return table(spark, d, "pages", "page_id", "url", "html").select("page_id", page).select("page_id", F.posexplode("page.links").alias("n", "link"))
@@ -540,7 +571,18 @@ def q_page_outlinks(spark, d):
 ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /*.html$\nDisallow: /de/2\nAllow: /de/\nCrawl-delay: 2\n\nUser-agent: otherbot\nDisallow: /fr/\nSitemap: http://example.com/map.xml\n"
 
 
-@registered()
+def _rule(allow: bool, pattern: str) -> dict:
+    return {"allow": allow, "pattern": pattern}
+
+
+# What the file above says, read by hand.
+POLICY = {"mode": "rules", "sitemaps": ["http://example.com/map.xml"], "groups": [
+    {"agents": ["*"], "rules": [_rule(False, "/en/"), _rule(True, "/en/1"), _rule(False, "/*.html$"), _rule(False, "/de/2"), _rule(True, "/de/")], "crawl_delay": 2.0},
+    {"agents": ["otherbot"], "rules": [_rule(False, "/fr/")]},
+]}
+
+
+@registered(f"SELECT DISTINCT split_part(split_part(url, '://', 2), '/', 1) AS host, '{json.dumps(POLICY, separators=(',', ':'))}' AS policy FROM pages")
 def q_robots_parse(spark, d):
     hosts = table(spark, d, "pages", "url").select(urls.host_of(F.col("url")).alias("host")).distinct()
     return hosts.select("host", F.to_json(rb.parse_udf(F.lit(200), F.lit(ROBOTS))).alias("policy"))
@@ -565,8 +607,9 @@ def q_robots_can_fetch(spark, d):
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 SHINGLES = f"""w AS (SELECT doc_id, {WORDS} AS w FROM documents), g AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 3
 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE w END)) AS g FROM w)"""
-JACCARD = f"""{SHINGLES}, c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-js AS (SELECT a, b, i / (x.n + y.n - i) AS jaccard FROM pr JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE i / (x.n + y.n - i) >= 0.8)"""
+JACCARD = f"""{SHINGLES}, c AS (SELECT doc_id, list_sort(list(g)) AS s, count(*) AS n FROM g GROUP BY doc_id), k AS (SELECT min(doc_id) AS doc_id, s, n FROM c GROUP BY s, n),
+kg AS (SELECT g.* FROM g JOIN k USING (doc_id)), pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM kg a JOIN kg b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+js AS (SELECT a, b, i / (x.n + y.n - i) AS jaccard FROM pr JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b WHERE i / (x.n + y.n - i) >= 0.8)"""
 
 
 @registered(f"SELECT doc_id, sha1(array_to_string({WORDS}, ' ')) AS content_hash FROM documents")
@@ -592,14 +635,19 @@ def q_near_dup_pairs_exact_jaccard(spark, d):
     return dedup.exact_jaccard_pairs(documents(spark, d)).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@registered(f"WITH {JACCARD} SELECT c.doc_id, k.doc_id AS representative FROM c JOIN k USING (s, n)")
+def q_shingle_classes(spark, d):
+    return dedup.shingle_classes(documents(spark, d))
+
+
 def _half(name: str) -> str:
     return " + ".join(f"CASE WHEN sum(({name} >> {i}) & 1) * 2 > count(*) THEN {1 << i} ELSE 0 END" for i in range(32))
 
 
 SIMHASH = f"""{SHINGLES}, m AS (SELECT doc_id, ('0x' || substr(md5(g), 1, 8))::BIGINT AS x, ('0x' || substr(md5(g), 9, 8))::BIGINT AS y FROM g),
 sh AS (SELECT doc_id, ({_half('x')})::BIGINT AS hi, ({_half('y')})::BIGINT AS lo FROM m GROUP BY doc_id)"""
-CANDIDATES = f"""{SIMHASH}, u AS (SELECT doc_id, hi, lo, hi::UHUGEINT * 4294967296 + lo AS v FROM sh), k AS (SELECT doc_id, hi, lo, i, (v // (2::UHUGEINT ** (7 * i))::UHUGEINT) % (CASE WHEN i = 8 THEN 256 ELSE 128 END) AS b FROM u, range(9) r(i)),
-cd AS (SELECT DISTINCT a.doc_id AS later, b.doc_id AS earlier, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS bits FROM k a JOIN k b ON a.i = b.i AND a.b = b.b AND b.doc_id < a.doc_id
+CANDIDATES = f"""{SIMHASH}, u AS (SELECT min(doc_id) AS doc_id, hi, lo, hi::UHUGEINT * 4294967296 + lo AS v FROM sh GROUP BY hi, lo), kb AS (SELECT doc_id, hi, lo, i, (v // (2::UHUGEINT ** (7 * i))::UHUGEINT) % (CASE WHEN i = 8 THEN 256 ELSE 128 END) AS b FROM u, range(9) r(i)),
+cd AS (SELECT DISTINCT a.doc_id AS later, b.doc_id AS earlier, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS bits FROM kb a JOIN kb b ON a.i = b.i AND a.b = b.b AND b.doc_id < a.doc_id
 WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 8)"""
 
 
@@ -613,9 +661,12 @@ def portable_simhash(spark: SparkSession, d: str) -> DataFrame:
     return summed.select("doc_id", word("x").alias("hi"), word("y").alias("lo"))
 
 
+def portable_prints(spark: SparkSession, d: str) -> DataFrame:
+    return portable_simhash(spark, d).select("doc_id", F.shiftleft("hi", 32).bitwiseOR(F.col("lo")).alias("simhash"))
+
+
 def portable_candidates(spark: SparkSession, d: str) -> DataFrame:
-    prints = portable_simhash(spark, d).select("doc_id", F.shiftleft("hi", 32).bitwiseOR(F.col("lo")).alias("simhash"))
-    return dedup.candidates(prints)
+    return dedup.candidates(portable_prints(spark, d))
 
 
 @registered(f"WITH {SIMHASH} SELECT doc_id, hi, lo FROM sh")
@@ -641,6 +692,11 @@ def q_simhash_candidates(spark, d):
     return portable_candidates(spark, d).select("later", "earlier", "bits")
 
 
+@registered(f"WITH {SIMHASH}, u AS (SELECT min(doc_id) AS doc_id, hi, lo FROM sh GROUP BY hi, lo) SELECT sh.doc_id, u.doc_id AS representative FROM sh JOIN u USING (hi, lo)")
+def q_simhash_classes(spark, d):
+    return dedup.classes(portable_prints(spark, d))
+
+
 @registered(f"""WITH {CANDIDATES}, {JACCARD.removeprefix(SHINGLES + ',')}, f AS (SELECT DISTINCT later AS id FROM cd), t AS (SELECT DISTINCT b AS id FROM js)
 SELECT (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM t) AS "true", count(*) AS "right", round(count(*) / (SELECT count(*) FROM f), 6) AS precision,
 round(count(*) / (SELECT count(*) FROM t), 6) AS recall FROM f JOIN t USING (id)""")
@@ -710,3 +766,67 @@ SELECT node, 0 AS depth FROM b0 UNION ALL SELECT node, 1 FROM b1 UNION ALL SELEC
 def q_bfs_frontier(spark, d):
     seeds = spark.createDataFrame([(1,), (2,), (3,)], "node bigint")
     return crawl.frontier(seeds, graph(spark, d)[1], 3)
+
+
+# A web over the part keys: page i links to 2i, 2i + 1 and 3i, each tenth page is a copy, some are private, host h4 is not asked for.
+WEB_SEEDS, WEB_DEPTH = (1, 2, 3, 5), 4
+
+
+def part_web(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(seeds, responses, robots)."""
+    i = F.col("i")
+    at = lambda n: F.concat(F.lit("http://h"), (n % 5).cast("string"), F.lit(".test/"), F.when(n % 7 == 3, "private/").otherwise("p/"), n.cast("string"))
+    body = F.when(i % 10 == 0, F.floor(i / 10)).otherwise(i)
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda j: F.concat(F.lit("w"), ((body * 7919 + j * j * 104729) % 100003).cast("string"))), " ")
+    out = [F.concat(at(2 * i), F.lit("?utm_medium=x#top")), at(2 * i + 1), F.lit("http://elsewhere.test/"), at(2 * i), at(3 * i)]
+    html = F.concat(F.lit("<p>"), words, F.lit("</p>"), *(F.concat(F.lit('<a href="'), x, F.lit('"></a>')) for x in out))
+    rows = table(spark, d, "part", "p_partkey").select(F.col("p_partkey").cast("bigint").alias("i"))
+    responses = rows.select(at(i).alias("url"), F.lit(200).alias("status"), html.alias("html"), F.lit(None).cast("string").alias("final_url"), F.lit("text/html").alias("content_type"), i.cast("double").alias("fetched_at"))
+    robots = spark.createDataFrame([(f"h{h}.test", 200, "User-agent: *\nDisallow: /private/") for h in range(5)], "host string, status int, text string")
+    seeds = spark.createDataFrame([(n,) for n in WEB_SEEDS], "n bigint").coalesce(1).select(F.regexp_replace(at(F.col("n")), "^http://h", "HTTP://H").alias("url"))
+    return seeds, responses, robots
+
+
+_CRAWLED: dict[tuple[str, str], crawl.Crawl] = {}
+
+
+def part_crawl(spark: SparkSession, d: str) -> crawl.Crawl:
+    """The crawl of ``part_web``, once an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _CRAWLED:
+        _CRAWLED[key] = crawl.crawl(*part_web(spark, d), crawl.CrawlConfig(max_pages=1_000_000, max_depth=WEB_DEPTH))
+    return _CRAWLED[key]
+
+
+def _web_sql() -> str:
+    """CTEs of the same crawl, round by round: f(i, b, depth, nth) are the pages fetched and o the originals of them."""
+    hosts = ", ".join(str(n % 5) for n in WEB_SEEDS)
+    seeds = ", ".join(f"({n}::BIGINT, {k}::BIGINT)" for k, n in enumerate(WEB_SEEDS))
+    out = [f"a0 AS (SELECT * FROM (VALUES {seeds}) v(i, nth))"]
+    for d in range(WEB_DEPTH + 1):
+        if d:
+            known = " UNION ALL ".join(f"SELECT i FROM a{k}" for k in range(d))
+            out.append(f"""a{d} AS (SELECT i, row_number() OVER (ORDER BY page, pos) - 1 AS nth FROM (SELECT t AS i, min((page, pos)).page AS page, min((page, pos)).pos AS pos FROM
+            (SELECT nth AS page, unnest([2 * i, 2 * i + 1, 3 * i]) AS t, unnest([0, 1, 2]) AS pos FROM o{d - 1}) GROUP BY t) WHERE i % 5 IN ({hosts}) AND i NOT IN ({known}))""".replace(
+                "min((page, pos)).page AS page, min((page, pos)).pos AS pos", "arg_min(page, page * 3 + pos) AS page, arg_min(pos, page * 3 + pos) AS pos"))
+        out.append(f"f{d} AS (SELECT i, CASE WHEN i % 10 = 0 THEN i // 10 ELSE i END AS b, {d} AS depth, nth FROM a{d} WHERE i % 7 <> 3 AND i IN (SELECT p_partkey FROM part))")
+        every = " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(d + 1))
+        out.append(f"o{d} AS (SELECT i, nth FROM f{d} x WHERE NOT EXISTS (SELECT 1 FROM ({every}) y WHERE y.b = x.b AND y.i <> x.i AND (y.depth < {d} OR y.nth < x.nth)))")
+    out.append("f AS (" + " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(WEB_DEPTH + 1)) + ")")
+    out.append("o AS (" + " UNION ALL ".join(f"SELECT i FROM o{k}" for k in range(WEB_DEPTH + 1)) + ")")
+    out.append("a AS (" + " UNION ALL ".join(f"SELECT i FROM a{k}" for k in range(WEB_DEPTH + 1)) + ")")
+    return ",\n".join(out)
+
+
+_AT = "'http://h' || (i % 5) || '.test/' || CASE WHEN i % 7 = 3 THEN 'private/' ELSE 'p/' END || i"
+
+
+@registered(f"""WITH {_web_sql()}, n AS (SELECT f.*, (SELECT min(y.i) FROM f y WHERE y.b = f.b AND y.i <> f.i AND f.i NOT IN (SELECT i FROM o)) AS j FROM f)
+SELECT {_AT} AS url, depth, (SELECT {_AT} FROM (SELECT j AS i) z WHERE j IS NOT NULL) AS dup_of, CASE WHEN j IS NOT NULL THEN 'exact' END AS dup_kind FROM n""")
+def q_crawl_pages(spark, d):
+    return part_crawl(spark, d).pages.select("url", "depth", "dup_of", "dup_kind")
+
+
+@registered(f"""WITH {_web_sql()} SELECT CASE WHEN i % 7 = 3 THEN 'robots_blocked' WHEN i NOT IN (SELECT p_partkey FROM part) THEN 'error' ELSE 'fetched' END AS outcome, count(*) AS n FROM a GROUP BY ALL""")
+def q_crawl_outcomes(spark, d):
+    return part_crawl(spark, d).fetches.groupBy("outcome").agg(F.count("*").alias("n"))

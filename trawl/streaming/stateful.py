@@ -3,6 +3,9 @@
 ``first_seen`` marks the first page of each content hash; ``fetch_slots`` gives
 each host's pages slots one delay apart. Both keep one small state a key; what
 they return for a key doesn't depend on how its rows fall into micro-batches.
+``forget_after`` (milliseconds without a row of a key) drops the key's state, so
+that a stream without end keeps the keys of a window of time only; without it
+every key is kept.
 """
 
 from __future__ import annotations
@@ -17,35 +20,53 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from trawl.operators.dedup import content_hash
 
 
-def first_seen(pages: DataFrame, url_col: str = "url", text_col: str = "text") -> DataFrame:
+def _timeout(forget_after: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if forget_after is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def _kept(state: GroupState, value: tuple, forget_after: int | None) -> None:
+    state.update(value)
+    if forget_after is not None:
+        state.setTimeoutDuration(forget_after)
+
+
+def first_seen(pages: DataFrame, url_col: str = "url", text_col: str = "text", forget_after: int | None = None) -> DataFrame:
     """(url, content_hash, dup_of): dup_of is null for the first page of a hash; in one batch the smallest url is first."""
     keyed = pages.select(F.col(url_col).alias("url"), content_hash(F.col(text_col)).alias("content_hash"))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         urls = sorted(u for b in batches for u in b["url"])
         first = state.get[0] if state.exists else urls[0]
-        state.update((first,))
+        _kept(state, (first,), forget_after)
         yield pd.DataFrame({"url": urls, "content_hash": key[0], "dup_of": [None if u == first else first for u in urls]})
 
     return keyed.groupBy("content_hash").applyInPandasWithState(
-        run, "url string, content_hash string, dup_of string", "first string", "append", GroupStateTimeout.NoTimeout
+        run, "url string, content_hash string, dup_of string", "first string", "append", _timeout(forget_after)
     )
 
 
-def fetch_slots(urls: DataFrame, delay: float, host_col: str = "host", url_col: str = "url") -> DataFrame:
-    """(host, url, slot, earliest): earliest seconds from the host's first page."""
+def fetch_slots(urls: DataFrame, delay: float, host_col: str = "host", url_col: str = "url", forget_after: int | None = None) -> DataFrame:
+    """(host, url, slot, earliest): earliest seconds from the host's first page, or its first after it was forgotten.
+
+    ``forget_after`` should be longer than a host's slots last."""
     keyed = urls.select(F.col(host_col).alias("host"), F.col(url_col).alias("url"))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         used = state.get[0] if state.exists else 0
         for b in batches:
             n = range(used, used + len(b))
             used += len(b)
             yield pd.DataFrame({"host": key[0], "url": b["url"].to_numpy(), "slot": [i + 1 for i in n], "earliest": [i * delay for i in n]})
-        state.update((used,))
+        _kept(state, (used,), forget_after)
 
     return keyed.groupBy("host").applyInPandasWithState(
-        run, "host string, url string, slot long, earliest double", "used long", "append", GroupStateTimeout.NoTimeout
+        run, "host string, url string, slot long, earliest double", "used long", "append", _timeout(forget_after)
     )
 
 
