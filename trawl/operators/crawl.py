@@ -106,7 +106,7 @@ def parsed(responses: DataFrame, config: CrawlConfig) -> DataFrame:
 
 def stored(rows: DataFrame, marks: DataFrame) -> DataFrame:
     """Stored pages of ``parsed`` rows with ``arrival`` and the marks (arrival, content_hash, simhash, dup_of, dup_kind) of the good ones."""
-    out = rows.join(marks, "arrival", "left")
+    out = rows.join(marks, "arrival", "left").withColumn("page", F.when(~F.col("failed"), F.col("page")))
     extra = [c for c in ("depth", "retries", "arrival") if c in out.columns]
     return out.select(
         "url", "final_url", "status", "fetched_at", F.col("page.title").alias("title"), F.col("page.text").alias("text"), F.col("page.main_text").alias("main_text"),

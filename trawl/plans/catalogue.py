@@ -769,7 +769,7 @@ def q_bfs_frontier(spark, d):
 
 
 # A web over the part keys: page i links to 2i, 2i + 1 and 3i, each tenth page is a copy, some are private, host h4 is not asked for.
-WEB_SEEDS, WEB_DEPTH = (1, 2, 3, 5), 4
+WEB_SEEDS, WEB_DEPTH = (1, 2, 3, 5), 3
 
 
 def part_web(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
