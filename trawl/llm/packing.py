@@ -7,10 +7,10 @@ padding plus truncation penalties is least:
     f(j) = min over i, T_j - T_i <= window, of f(i) + padding(T_j - T_i) + penalty(j)
 
 As padding is ``window - T_j + T_i``, the best i is the least ``f(i) + T_i`` of a
-sliding window, which a monotone queue gives in amortised constant time;
-lengths that are a power of two need no padding and are looked up directly.
-The tail of a partition is cut into powers of two. Tokens are held for one
-block at a time, documents are never moved, and no shuffle is needed.
+sliding window, which a monotone queue gives in amortised constant time. Only
+the tail of a partition is cut into powers of two, which need no padding; all
+other windows are filled. Tokens are held for one block at a time, and cuts are
+the best of a block; documents are never moved, and no shuffle is needed.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from trawl.llm.common import in_batches
+
 WINDOW = 2048
 END_ID = 1
 #: What a cut costs, in tokens of padding.
@@ -38,9 +40,9 @@ SENTENCE_CUT, FORCED_CUT = 8, 64
 #: Candidates stand this many tokens apart at least, forced ones this many.
 SPACING, FORCED_SPACING = 8, 256
 #: Tokens that the dynamic programme sees at once, and bytes of text tokenised at once.
-BLOCK_TOKENS, BLOCK_BYTES = 1 << 19, 8 << 20
-#: Words that a worker remembers.
-CACHE_WORDS = 600_000
+BLOCK_TOKENS, BLOCK_BYTES = 1 << 17, 2 << 20
+#: Words and parts of words that a worker remembers: some 12 and 15 MB.
+CACHE_WORDS, CACHE_PARTS = 400_000, 100_000
 
 PIECE = T.StructType().add("start", "long").add("length", "long").add("ids_crc32", "long").add("doc_tokens", "long").add(
     "sequence_id", "long").add("offset", "long")
@@ -76,7 +78,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        #: Words that are known, and their ids, word after word.
+        self.known, self.ids, self.ends = pa.array([], pa.large_string()), np.empty(0, np.uint32), np.zeros(1, np.int32)
         self.letters: dict[str, bytes] = {}
         #: Whether the file is a lower-casing byte-level BPE with these pre-tokens, so that the model can be asked directly.
         spec = json.loads(self.whole.to_str())
@@ -84,15 +87,15 @@ class WordTokenizer:
         pattern = next((x["pattern"].get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if "pattern" in x), None)
         self.plain = steps == ["NFC", "Replace", "Lowercase"] and pattern == self.PATTERN
 
-    def _missing(self, found: list[str]) -> None:
-        """Remember the ids of ``found``: the model on each pre-token of Latin-1 words, the whole tokenizer for others."""
-        others, known, model, table, split = [], self.letters, self.whole.model.tokenize, BYTE_LETTERS, self.PRE_TOKENS.findall
-        if len(known) > CACHE_WORDS:
+    def _tokenized(self, words: list[str]) -> list[bytes]:
+        """The ids of each word: the model on each pre-token of Latin-1 words, the whole tokenizer for others."""
+        out, others = [b""] * len(words), []
+        known, model, table, split = self.letters, self.whole.model.tokenize, BYTE_LETTERS, self.PRE_TOKENS.findall
+        if len(known) > CACHE_PARTS:
             known.clear()
-        cache = self.cache
-        for w in found:
+        for i, w in enumerate(words):
             if not self.plain or "<|" in w or not (w.isascii() or max(w) <= "\xff"):
-                others.append(w)
+                others.append(i)
                 continue
             ids = b""
             for part in split(w.lower()):
@@ -100,11 +103,37 @@ class WordTokenizer:
                     letters = part if part.isascii() else part.encode().decode("latin-1").translate(table)
                     got = known[part] = array("I", [t.id for t in model(letters)]).tobytes()
                 ids += got
-            cache[w] = ids
+            out[i] = ids
         for i in range(0, len(others), 4096):
-            part = others[i : i + 4096]
-            for w, e in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = array("I", e.ids).tobytes()
+            some = others[i : i + 4096]
+            for at, e in zip(some, self.whole.encode_batch_fast([words[j] for j in some], add_special_tokens=False), strict=True):
+                out[at] = array("I", e.ids).tobytes()
+        return out
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where each of the distinct ``words`` is among the known ones; the missing are tokenised and added.
+
+        All are flat arrays, some thirty bytes a word. Beyond ``CACHE_WORDS`` only these words stay.
+        """
+        found = pc.index_in(words, value_set=self.known)
+        missing = words.filter(found.is_null())
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        if len(missing):
+            if len(self.known) + len(missing) > CACHE_WORDS:
+                stay = words.filter(found.is_valid())
+                keep = at[found.is_valid().to_numpy(zero_copy_only=False)]
+                sizes = self.ends[keep + 1] - self.ends[keep]
+                ends = np.cumsum(sizes)
+                self.ids = self.ids[np.repeat(self.ends[keep] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+                self.known, self.ends = stay, np.concatenate([[0], ends]).astype(np.int32)
+                at[found.is_valid().to_numpy(zero_copy_only=False)] = np.arange(len(stay))
+            at[found.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(missing))
+            made = self._tokenized(missing.to_pylist())
+            sizes = np.fromiter(map(len, made), np.int64, len(made)) >> 2
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), np.uint32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)]).astype(np.int32)
+            self.known = pa.concat_arrays([self.known, missing])
+        return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets per text); null texts have none."""
@@ -113,19 +142,9 @@ class WordTokenizer:
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         split = pc.ascii_split_whitespace(plain)
         runs = pc.dictionary_encode(split.flatten())
-        # One string and one split are many times faster than a Python object for each entry.
-        lone = pa.ListArray.from_arrays(pa.array([0, len(runs.dictionary)], pa.int32()), runs.dictionary)
-        known = pc.binary_join(lone, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(runs.dictionary) else []
-        cache = self.cache
-        if missing := [w for w in known if w not in cache]:
-            if len(cache) + len(missing) > CACHE_WORDS:
-                cache.clear()
-                missing = known
-            self._missing(missing)
-        parts = [cache[w] for w in known]
-        at = np.cumsum([0, *map(len, parts)], dtype=np.int32) >> 2
-        lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(parts), np.uint32)))
-        chosen = lists.take(runs.indices)
+        places = self._places(runs.dictionary)
+        lists = pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.ids))
+        chosen = lists.take(pa.array(places).take(runs.indices))
         ids = chosen.flatten().to_numpy()
         ends = np.asarray(chosen.offsets) - chosen.offsets[0].as_py()
         offsets = ends[np.asarray(split.offsets) - split.offsets[0].as_py()]
@@ -167,26 +186,20 @@ def choose_cuts(ends: list[int], penalties: list[int], window: int = WINDOW) ->
     """
     position, cost, origin, queue = [0, *ends], [0.0], [0], deque([0])
     keys = [0.0]
-    special = [p for p in (1 << b for b in range(8, 30)) if p <= window]
-    where = {0: 0}
     last = len(ends)
     for j in range(1, last + 1):
         t = position[j]
         while position[queue[0]] < t - window:
             queue.popleft()
-        i = queue[0]
-        best = keys[i] + window - t
         if j == last:
-            i = min((k for k in queue), key=lambda k: cost[k])
+            i = min(queue, key=cost.__getitem__)
             best = cost[i]
-        for p in special:
-            k = where.get(t - p)
-            if k is not None and cost[k] < best:
-                best, i = cost[k], k
+        else:
+            i = queue[0]
+            best = keys[i] + window - t
         best += penalties[j - 1]
         cost.append(best)
         origin.append(i)
-        where[t] = j
         key = best + t
         keys.append(key)
         while queue and keys[queue[-1]] >= key:
@@ -318,4 +331,4 @@ def pack(df: DataFrame, tokenizer_path: str, text_col: str = "text", window: int
         if ready := packer.finish():
             yield rows(ready)
 
-    return df.select(*others, text_col).mapInArrow(run, schema)
+    return in_batches(df.select(*others, text_col), run, schema)
