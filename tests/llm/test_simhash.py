@@ -3,8 +3,10 @@ import random
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 from tests.conftest import SMALL
-from trawl.llm import jaccard, queries, simhash
+from trawl.llm import common, jaccard, queries, simhash
 
 
 def fingerprint(text):
@@ -50,7 +52,7 @@ def test_chains_of_fingerprints(spark):
             w ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 2)))
             words.append(w)
     words = sorted({w - (1 << 64) if w >> 63 else w for w in words})
-    nodes = spark.createDataFrame([(w, [w]) for w in words], "node bigint, fp array<bigint>")
+    nodes = spark.createDataFrame([(w,) for w in words], "fp bigint")
     found = {r.node: r.root for r in simhash.components(simhash.links(nodes)).collect()}
     want = roots(words, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 2)
     assert {w: found.get(w, w) for w in words} == want
@@ -70,25 +72,12 @@ def test_edges(spark):
     assert simhash.near_duplicates(df.where("false")).collect() == []
 
 
-def test_keyed_tables_find_edited_copies(spark):
-    rng = random.Random(8)
-    word = lambda: "".join(rng.choices("abcdefghij", k=6))
-    shared = [word() for _ in range(60)]
-    rows, pairs = [], []
-    for i in range(80):
-        base = [word() for _ in range(240)] + shared
-        copy = list(base)
-        for at in rng.sample(range(300), 5):
-            copy[at] = word()
-        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
-        pairs.append((2 * i, 2 * i + 1))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    most = simhash.similarity_bits(0.78, 1024)
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, shingle=5, tables=8, sketch=16, max_distance=most).collect()}
-    # Five of 300 words leave a similarity of about 0.85.
-    assert sum(got[b] == a for a, b in pairs) >= 76 and all(v in (k, k - 1) for k, v in got.items())
-    more = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, shingle=5, bits=48, tables=4, max_distance=29).collect()}
-    assert all(v in (k, k - 1) for k, v in more.items())
+def test_hot_keys_meet_their_labels(spark):
+    rows = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(9000)], "id long, k long")
+    labels = rows.groupBy("k").agg(F.count("*").alias("held")).withColumn("name", F.col("k") * 2)
+    got = common.joined_labels(rows, labels, "k")
+    assert got.columns == ["id", "k", "name"] and sorted(map(tuple, got.collect())) == [(i, k, 2 * k) for i, k in sorted(map(tuple, rows.collect()))]
+    assert common.joined_labels(rows.where("false"), labels.where("false"), "k").collect() == []
 
 
 def test_majority():

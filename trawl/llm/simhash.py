@@ -13,7 +13,6 @@ rounds with checkpoints.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.common import checkpointed, free_name
+from trawl.llm.common import checkpointed, free_name, in_batches, joined_labels, row_key, without_keys
 
 SEED = 42
 
@@ -42,18 +41,7 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((digest(x, SEED) for x in runs), np.uint64, n)
 
 
-def remix(h: np.ndarray, table: int) -> np.ndarray:
-    """Hashes for another table of fingerprints; table 0 keeps them."""
-    if table == 0:
-        return h
-    with np.errstate(over="ignore"):
-        x = h + np.uint64((0x9E3779B97F4A7C15 * table) % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def majority(h: np.ndarray, bits: int) -> int:
+def majority(h: np.ndarray, bits: int = 64) -> int:
     """Bit i is 1 when over half of the hashes have it; no hash gives 0."""
     if not len(h):
         return 0
@@ -65,51 +53,17 @@ def majority(h: np.ndarray, bits: int) -> int:
     return int(ones) & ((1 << bits) - 1)
 
 
-#: Keyed tables: bits of SimHash in a word, below 47 bits of a min-hash, and tables a sketch word has room for.
-KEYED_BITS = 16
-_PER_WORD = 64 // KEYED_BITS
-
-
-def plain_words(h: np.ndarray, bits: int, tables: int) -> list[int]:
-    """One SimHash a table."""
-    return [majority(remix(h, t), bits) for t in range(tables)]
-
-
-def keyed_words(h: np.ndarray, tables: int, sketch: int) -> list[int]:
-    """A word a table, then ``sketch`` words of 64-bit SimHash that verify.
-
-    A table's word is a min-hash of the set with 16 bits of the sketch below it:
-    similar sets share the min-hash often, unrelated ones hardly ever, so few
-    bits of SimHash within the radius are enough to meet.
-    """
-    h = np.unique(h)
-    long = [majority(remix(h, t), 64) for t in range(sketch)]
-    out = []
-    for t in range(tables):
-        key = int(remix(h, 1000 + t).min()) & (1 << 47) - 1 if len(h) else 0
-        out.append(key << KEYED_BITS | long[t // _PER_WORD] >> KEYED_BITS * (t % _PER_WORD) & (1 << KEYED_BITS) - 1)
-    return out + long
-
-
-def fingerprints(
-    df: DataFrame, text_col: str = "text", shingle: int = 3, bits: int = 64, tables: int = 1, sketch: int = 0, out: str = "fp"
-) -> DataFrame:
-    """``df`` without its text and with ``out``: the signed 64-bit words of each text. Null texts count as empty."""
+def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 3, bits: int = 64, out: str = "fp") -> DataFrame:
+    """``df`` without its text and with ``out``: the signed 64-bit fingerprint of each text. Null texts count as empty."""
     others = [c for c in df.columns if c != text_col]
-    schema = df.select(*others).schema.add(out, T.ArrayType(T.LongType()))
-    width = tables + sketch
+    schema = df.select(*others).schema.add(out, T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = np.empty((batch.num_rows, width), np.uint64)
-            for i, text in enumerate(batch.column(text_col)):
-                h = shingle_hashes(text.as_py(), shingle)
-                flat[i] = keyed_words(h, tables, sketch) if sketch else plain_words(h, bits, tables)
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
-            column = pa.ListArray.from_arrays(offsets, pa.array(flat.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), column], [*others, out])
+            made = np.fromiter((majority(shingle_hashes(t.as_py(), shingle), bits) for t in batch.column(text_col)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(made.view(np.int64))], [*others, out])
 
-    return df.select(*others, text_col).mapInArrow(run, schema)
+    return in_batches(df.select(*others, text_col), run, schema)
 
 
 def variant_masks(bits: int, half: int) -> list[int]:
@@ -118,67 +72,31 @@ def variant_masks(bits: int, half: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Differing bits over all tables."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
-def similarity_bits(similarity: float, bits: int) -> int:
-    """Expected differing bits of two shingle sets of this Jaccard similarity."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def links(words: DataFrame, bits: int = 64, radius: int = 2) -> DataFrame:
+    """(a, b): fingerprints that follow each other among the holders of one variant.
 
-
-def word_links(words: DataFrame, bits: int, radius: int) -> DataFrame:
-    """(table, a, b): words that follow each other among the holders of one variant.
-
-    ``words`` has distinct (table, word). A variant has at most as many holders
-    as its ball of half the radius has points, so no window is large, and all
-    of them are within the radius of each other, so the chain loses no link.
+    ``words`` has distinct (fp). A variant has at most as many holders as its
+    ball of half the radius has points, so no window is large, and all of them
+    are within the radius of each other, so the chain loses no link.
     """
+    if radius % 2 or not 0 < bits <= 64:
+        raise ValueError("radius must be even and bits within 1..64")
     masks = F.array(*(F.lit(m).cast("bigint") for m in variant_masks(bits, radius // 2)))
-    spread = words.select("table", "word", F.explode(F.transform(masks, lambda m: F.col("word").bitwiseXOR(m))).alias("variant"))
-    before = F.lag("word").over(Window.partitionBy("table", "variant").orderBy("word"))
-    pairs = spread.select("table", before.alias("a"), F.col("word").alias("b")).where("a is not null")
+    spread = words.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    before = F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))
+    pairs = spread.select(before.alias("a"), F.col("fp").alias("b")).where("a is not null")
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
-def links(
-    nodes: DataFrame, bits: int = 64, tables: int = 1, radius: int = 2, max_distance: int | None = None, sketch: int = 0
-) -> DataFrame:
-    """Verified (a, b) that connect everything linked; ``nodes`` has one row per distinct ``fp`` and its number ``node``.
-
-    With one table a node is its word. With more, a pair counts when its words
-    meet in any table and its words (those of the sketch, where there is one)
-    differ in at most ``max_distance`` bits; the holders of one word are
-    represented by the smallest of them. Only numbers are shuffled until the
-    few candidate pairs fetch their fingerprints.
-    """
-    spread = nodes.select("node", F.posexplode(F.slice("fp", 1, tables)).alias("table", "word"))
-    if tables == 1:
-        return word_links(spread.select("table", "word"), bits, radius).select("a", "b")
-    heads = spread.groupBy("table", "word").agg(F.min("node").alias("head"))
-    same = spread.join(heads, ["table", "word"]).where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    met = word_links(heads.select("table", "word"), bits, radius)
-    left = heads.select("table", F.col("word").alias("a"), F.col("head").alias("head_a"))
-    right = heads.select("table", F.col("word").alias("b"), F.col("head").alias("head_b"))
-    across = met.join(left, ["table", "a"]).join(right, ["table", "b"]).select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
-    # The candidates are few; written, they also keep the plan of what follows small.
-    pairs = checkpointed(same.union(across)).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    most = radius if max_distance is None else max_distance
-    told = F.slice("fp", tables + 1, sketch) if sketch else F.col("fp")
-    first, second = nodes.select(F.col("node").alias("a"), told.alias("fa")), nodes.select(F.col("node").alias("b"), told.alias("fb"))
-    return pairs.join(first, "a").join(second, "b").where(distance(F.col("fa"), F.col("fb")) <= most).select("a", "b")
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node reachable.
 
-    Alternates large-star and small-star rounds, O(log n) of them in practice;
-    each is checkpointed to the shared folder. Raises when not converged.
+    Alternates large-star and small-star rounds until nothing changes, O(log n)
+    of them in practice; each is checkpointed to the shared folder.
     """
     edges = checkpointed(edges.select("a", "b"))
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -190,74 +108,71 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == seen:
             return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
         seen = state
-    raise RuntimeError(f"components did not converge in {max_rounds} rounds")
 
 
-def rooted(
-    df: DataFrame, id_col: str, text_col: str, shingle: int, bits: int, tables: int, radius: int, max_distance: int | None, sketch: int,
-    keyed: bool = False,
-) -> tuple[DataFrame, DataFrame]:
-    """(id, fp, node) per row, with the hash ``key`` of its text when ``keyed``, and (node, least, root) per distinct fingerprint."""
-    if radius % 2 or not 0 < bits <= 64:
-        raise ValueError("radius must be even and bits within 1..64")
-    if sketch:
-        bits = KEYED_BITS
-        if tables > sketch * _PER_WORD:
-            raise ValueError("a sketch word has room for four tables")
-    columns = [F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.xxhash64(text_col).alias("key")] if keyed else [])]
-    docs = checkpointed(fingerprints(df.select(*columns), "text", shingle, bits, tables, sketch))
-    # One word numbers itself; longer fingerprints are numbered by a 64-bit hash.
-    docs = docs.withColumn("node", F.col("fp")[0] if tables == 1 else F.xxhash64("fp"))
-    nodes = docs.groupBy("node").agg(F.first("fp").alias("fp"))
-    roots = components(links(nodes.select("node", "fp"), bits, tables, radius, max_distance, sketch))
-    least = docs.groupBy("node").agg(F.min("id").alias("least"))
-    return docs, least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def rooted(rows: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``root``: that of their ``key`` in ``roots`` (node, root), or the key itself."""
+    held = rows.groupBy(key).agg(F.count("*").alias("held"))
+    named = roots.select(F.col("node").alias("_node"), "root")
+    labels = held.join(named, F.col(key) == F.col("_node"), "left").select(key, "held", F.coalesce("root", key).alias("root"))
+    return joined_labels(rows, checkpointed(labels), key)
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 64, tables: int = 1,
-    radius: int = 2, max_distance: int | None = None, sketch: int = 0,
-) -> DataFrame:
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 64, radius: int = 2
+) -> DataFrame:
     """(id, fp, component_id) per row: the smallest id reachable over links, the row's own included.
 
-    ``bits`` is at most 64 and ``radius`` even. ``sketch`` > 0 makes keyed tables
-    of 16 bits and verifies by so many words more. Repeated rows and exact copies
+    ``bits`` is at most 64 and ``radius`` even. Repeated rows and exact copies
     share a component. Null and blank texts have fingerprint 0 and link like any
     other. A null id never becomes a component's id unless all its ids are null.
     An empty table gives an empty result.
     """
-    docs, nodes = rooted(df, id_col, text_col, shingle, bits, tables, radius, max_distance, sketch)
-    best = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(best, "root").select(F.col("node").alias("node_"), "component_id")
-    joined = docs.join(named, docs["node"] == named["node_"], "left").drop("node_")
-    return joined.select(F.col("id").alias(id_col), "fp", "component_id")
+    docs = checkpointed(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle, bits))
+    prints = docs.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("held"))
+    roots = components(links(prints.select("fp"), bits, radius))
+    named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", "held", F.coalesce("root", "fp").alias("root"))
+    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = checkpointed(named.join(best, "root").select("fp", "held", "component_id"))
+    return joined_labels(docs, labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:
-    """16 lower-case hex digits of the first word."""
-    return F.lower(F.lpad(F.hex(fp[0]), 16, "0"))
+    """16 lower-case hex digits."""
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_per_root(df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, key) of each row, ``key`` the hash of the whole row."""
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(df).alias("key"))
+
+
+def one_per_root(df: DataFrame, rows: DataFrame) -> DataFrame:
     """``df`` with one row per root of ``rows`` (id, key, root): the smallest id that is not null, then the smallest key.
 
-    ``key`` is the hash of the row's text, so rows that share an id, or have none, are told apart.
+    ``key`` tells rows apart that share an id or have none; of rows that are
+    equal in every column one stays. Only keys are shuffled, and the rows that
+    are in the table more than once.
     """
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")
-    best = rows.groupBy("root").agg(first).select(F.col("best.id").alias("best_id"), F.col("best.key").alias("best_key"))
+    best = checkpointed(rows.groupBy("root").agg(first).select(F.col("best.key").alias("key")))
+    every = rows.groupBy("key").agg(F.count("*").alias("n"))
+    gone = checkpointed(every.join(best, "key", "left_anti").select("key"))
+    twice = checkpointed(every.where("n > 1").join(best, "key", "left_semi").select("key"))
+    if twice.isEmpty():
+        return without_keys(df, gone)
     key = free_name(df, "key")
-    marked = df.withColumn(key, F.xxhash64(text_col))
-    kept = marked.join(best, marked[id_col].eqNullSafe(best["best_id"]) & (marked[key] == best["best_key"]), "left_semi")
-    return kept.dropDuplicates([id_col, key]).select(*df.columns)
+    again = df.withColumn(key, row_key(df)).join(twice.toDF("_twice"), F.col(key) == F.col("_twice"), "left_semi")
+    return without_keys(df, gone.union(twice)).unionByName(again.dropDuplicates([key]).drop(key))
 
 
 def keep_representatives(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 64, tables: int = 1,
-    radius: int = 2, max_distance: int | None = None, sketch: int = 0,
-) -> DataFrame:
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 64, radius: int = 2
+) -> DataFrame:
     """``df`` with one row per component: the one with the smallest id, whether or not other components hold rows with this id.
 
     A row whose id is null is kept only where a component has no other id.
     """
-    docs, nodes = rooted(df, id_col, text_col, shingle, bits, tables, radius, max_distance, sketch, keyed=True)
-    return one_per_root(df, docs.join(nodes.select("node", "root"), "node").select("id", "key", "root"), id_col, text_col)
+    docs = checkpointed(fingerprints(keyed(df, id_col, text_col), "text", shingle, bits))
+    roots = components(links(docs.select("fp").distinct(), bits, radius))
+    return one_per_root(df, rooted(docs, roots, "fp").select("id", "key", "root"))
