@@ -5,25 +5,28 @@ each pattern's words to its sources' targets; the first pass over a pattern is
 free and each repetition costs one more than the last, so repeats are used as
 evenly and as late as the targets allow. A pattern then takes a whole number of
 passes over all its documents and one more over those first in a seeded order,
-which a cutoff describes: it is found from sums of 1,024 hash ranges and of the
+which a cutoff describes: it is found from sums of hash ranges and of the
 documents of one range, and applied where the documents lie. No document is
-moved or collected; the driver sees one row a pattern.
+moved or collected; the driver sees one row a pattern. Sources that share no
+document are settled without a flow, so there may be any number of them.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import checkpointed
+from trawl.llm.common import checkpointed, joined_labels, local_rows
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_PASSES = 3
-#: Distinct sets of sources, all of which the driver holds.
-MAX_PATTERNS = 5000
-RANGE_BITS = 10
+#: Rows of a plan, one a set of sources, that are sent to every task; longer plans meet the documents in a shuffle.
+BROADCAST_ROWS = 10_000
+#: Hash ranges in which a cutoff is sought, as bits: at least, and so many that about this many documents fall into one.
+RANGE_BITS, RANGE_DOCS = 10, 1 << 17
 #: Stands for a null source; sorts after every code point.
 NULL_SOURCE = "\U0010ffff\U0010ffff"
 
@@ -98,6 +101,36 @@ def min_cost_flow(supply: list[int], members: list[list[int]], demand: list[int]
             x = to[came[x] ^ 1]
 
 
+def routed(supply: list[int], members: list[list[int]], demand: list[int], passes: int = MAX_PASSES) -> list[list[int]]:
+    """``min_cost_flow`` of each group of sources that documents connect; a source whose documents have no other needs none."""
+    parent = list(range(len(demand)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for row in members:
+        for j in row[1:]:
+            parent[find(j)] = find(row[0])
+    groups: dict[int, list[int]] = {}
+    for i, row in enumerate(members):
+        groups.setdefault(find(row[0]), []).append(i)
+    out: list[list[int]] = [[] for _ in members]
+    for group in groups.values():
+        if len(group) == 1 and len(members[group[0]]) == 1:
+            i = group[0]
+            out[i] = [min(passes * supply[i], demand[members[i][0]])]
+            continue
+        held = sorted({j for i in group for j in members[i]})
+        place = {j: k for k, j in enumerate(held)}
+        flow = min_cost_flow([supply[i] for i in group], [[place[j] for j in members[i]] for i in group], [demand[j] for j in held], passes)
+        for i, row in zip(group, flow, strict=True):
+            out[i] = row
+    return out
+
+
 def pattern(sources: Column) -> Column:
     """The sorted distinct sources of an array; null members and null or empty arrays count as the null source."""
     named = F.transform(sources, lambda s: F.coalesce(s.cast("string"), F.lit(NULL_SOURCE)))
@@ -123,31 +156,36 @@ def plan(df: DataFrame, size: Column, sources: Column, id_col: str = "doc_id", w
     key, tie = _order(id_col, seed)
     rows = df.select(size.cast("long").alias("mix_size"), pattern(sources).alias("mix_pattern"), key.alias("k"), tie.alias("t"))
     spark = df.sparkSession
-    sums = rows.groupBy("mix_pattern").agg(F.sum("mix_size").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} sets of sources")
-    sums = sorted((tuple(r.mix_pattern), int(r.n or 0)) for r in sums)
+    sums = rows.groupBy("mix_pattern").agg(F.sum("mix_size").alias("n"), F.count("*").alias("held")).collect()
+    sums = sorted((tuple(r.mix_pattern), int(r.n or 0), r.held) for r in sums)
     sizes: dict[str, int] = {}
-    for names, n in sums:
+    for names, n, _ in sums:
         for s in names:
             sizes[s] = sizes.get(s, 0) + n
     order = sorted(sizes)
-    wanted = targets(sizes, sum(n for _, n in sums), weights)
-    flows = min_cost_flow([n for _, n in sums], [[order.index(s) for s in names] for names, _ in sums], [round(wanted[s]) for s in order])
+    wanted = targets(sizes, sum(n for _, n, _ in sums), weights)
+    place = {s: j for j, s in enumerate(order)}
+    flows = routed([n for _, n, _ in sums], [[place[s] for s in names] for names, _, _ in sums], [round(wanted[s]) for s in order])
     made = []
-    for i, ((names, n), row) in enumerate(zip(sums, flows, strict=True)):
+    for i, ((names, n, held), row) in enumerate(zip(sums, flows, strict=True)):
         whole, rest = divmod(sum(row), n) if n else (1, 0)
-        made.append((i, list(names), sizes[names[0]], float(wanted[names[0]]), whole, rest))
-    table = spark.createDataFrame(made, "mix_id int, mix_names array<string>, mix_source_size long, mix_target double, mix_whole long, mix_rest long")
-    cutoffs = _cutoffs(rows.join(F.broadcast(table), F.col("mix_pattern") == F.col("mix_names")).where("mix_rest > 0"))
-    ends = spark.createDataFrame(cutoffs, "mix_end_id int, mix_key long, mix_tie string")
+        made.append((i, list(names), sizes[names[0]], float(wanted[names[0]]), whole, rest, held))
+    table = local_rows(
+        spark, made, mix_id=pa.int32(), mix_names=pa.list_(pa.string()), mix_source_size=pa.int64(), mix_target=pa.float64(), mix_whole=pa.int64(), mix_rest=pa.int64(), mix_held=pa.int64()
+    )
+    few = len(made) <= BROADCAST_ROWS
+    parted = rows.join(F.broadcast(table) if few else table, F.col("mix_pattern") == F.col("mix_names")).where("mix_rest > 0")
+    bits = max([RANGE_BITS, *((held // RANGE_DOCS).bit_length() for _, _, held in sums)])
+    cutoffs = _cutoffs(parted, bits, few)
+    ends = local_rows(spark, cutoffs, mix_end_id=pa.int32(), mix_key=pa.int64(), mix_tie=pa.string())
     return table.join(ends, table["mix_id"] == ends["mix_end_id"], "left")
 
 
 def applied(df: DataFrame, planned: DataFrame, sources: Column, id_col: str = "doc_id", seed: int = 42) -> DataFrame:
-    """``df`` with mix_source_size, mix_target and mix_copies, where the rows lie; the plan has at most ``MAX_PATTERNS`` rows."""
+    """``df`` with mix_source_size, mix_target and mix_copies, where the rows lie unless the plan is long."""
     key, tie = _order(id_col, seed)
-    out = df.withColumn("mix_pattern", pattern(sources)).join(F.broadcast(planned), F.col("mix_pattern") == F.col("mix_names"), "left")
+    named = planned.withColumnRenamed("mix_names", "mix_pattern")
+    out = joined_labels(df.withColumn("mix_pattern", pattern(sources)), named, "mix_pattern", "mix_held")
     first = F.coalesce((key < F.col("mix_key")) | ((key == F.col("mix_key")) & (tie <= F.col("mix_tie"))), F.lit(False))
     return out.select(*df.columns, "mix_source_size", "mix_target", (F.col("mix_whole") + first.cast("long")).alias("mix_copies"))
 
@@ -170,15 +208,15 @@ def _without_own(df: DataFrame) -> DataFrame:
     return df.drop(*(c for c in df.columns if c.lower().startswith("mix_")))
 
 
-def _cutoffs(rows: DataFrame) -> list[tuple]:
+def _cutoffs(rows: DataFrame, bits: int, few: bool) -> list[tuple]:
     """(pattern, key, tie) of the last document that each pattern's part pass takes: the one whose middle is within the rest."""
-    keyed = rows.select("mix_id", "mix_rest", "mix_size", "k", "t", F.shiftright("k", 64 - RANGE_BITS).alias("r"))
+    keyed = rows.select("mix_id", "mix_rest", "mix_size", "k", "t", F.shiftright("k", 64 - bits).alias("r"))
     sums = keyed.groupBy("mix_id", "mix_rest", "r").agg(F.sum("mix_size").alias("n"))
     running = F.sum("n").over(Window.partitionBy("mix_id").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
     # The range in which the running sum passes the rest: one row a pattern.
     at = sums.withColumn("upto", running).where("upto >= mix_rest and upto - n < mix_rest").select("mix_id", "r", (F.col("upto") - F.col("n")).alias("before")).collect()
-    spots = keyed.sparkSession.createDataFrame([(x.mix_id, x.r, x.before) for x in at], "i int, s long, before long")
-    near = keyed.join(F.broadcast(spots), (F.col("mix_id") == F.col("i")) & (F.col("r") == F.col("s")))
+    spots = local_rows(keyed.sparkSession, [(x.mix_id, x.r, x.before) for x in at], i=pa.int32(), s=pa.int64(), before=pa.int64())
+    near = keyed.join(F.broadcast(spots) if few else spots, (F.col("mix_id") == F.col("i")) & (F.col("r") == F.col("s")))
     docs = near.groupBy("mix_id", "mix_rest", "before", "k", "t").agg(F.sum("mix_size").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("mix_id").orderBy("k", "t").rowsBetween(Window.unboundedPreceding, 0))
     taken = docs.withColumn("upto", upto).where("2 * (before + upto) - n <= 2 * mix_rest")
@@ -186,7 +224,7 @@ def _cutoffs(rows: DataFrame) -> list[tuple]:
     found = {r.mix_id: (r.mix_id, r.x.k, r.x.t) for r in last}
     # None of the range is taken: the cutoff is just before it.
     for x in at:
-        found.setdefault(x.mix_id, (x.mix_id, (x.r << (64 - RANGE_BITS)) - 1 if x.r > -(1 << (RANGE_BITS - 1)) else -(1 << 63), ""))
+        found.setdefault(x.mix_id, (x.mix_id, (x.r << (64 - bits)) - 1 if x.r > -(1 << (bits - 1)) else -(1 << 63), ""))
     return list(found.values())
 
 
