@@ -84,7 +84,7 @@ def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, tol: flo
     if not n:
         return PageRank(nodes.select("id", F.lit(0.0).alias("rank")), 0, True)
     weighted = links.join(links.groupBy("src").agg(F.count("*").alias("_d")), "src").select("src", "dst", (1 / F.col("_d")).alias("w"))
-    weighted = checkpointed(weighted.repartition("src"))
+    weighted = checkpointed(weighted)
     state = nodes.select("id").join(weighted.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True)), "id", "left")
     state = checkpointed(state.select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")))
     loose = state.agg(F.sum(F.when(F.col("dangling"), F.col("rank")))).first()[0] or 0.0
