@@ -25,10 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from trawl.llm.common import in_batches
+
 KINDS = ("assign", "access", "hex", "random")
 #: False discovery rate among the tokens of a text, and the level at which randomness is refused.
 FDR, REFUSE = 1e-3, 1e-3
 MIN_TOKEN = 20
+#: How many times stronger the evidence must be for a token without a digit. Digits alone are never found: numbers of all kinds look random.
+LETTERS_ONLY = 1000
 REDACTED = "[secret]"
 
 
@@ -50,7 +54,7 @@ MAY_HOLD = "(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{32}|[A-Za-z
 _DIGITS, _LOW, _UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
     ("digits", _DIGITS), ("hex", _DIGITS + "abcdef"), ("HEX", _DIGITS + "ABCDEF"), ("base32", _UP + "234567"),
-    ("letters", _LOW), ("LETTERS", _UP), ("base36", _DIGITS + _LOW), ("BASE36", _DIGITS + _UP), ("base62", _DIGITS + _UP + _LOW),
+    ("letters", _LOW), ("LETTERS", _UP), ("Letters", _UP + _LOW), ("base36", _DIGITS + _LOW), ("BASE36", _DIGITS + _UP), ("base62", _DIGITS + _UP + _LOW),
     ("base64", _UP + _LOW + _DIGITS + "+/"), ("base64url", _UP + _LOW + _DIGITS + "-_"), ("any", _UP + _LOW + _DIGITS + "+/-_"),
 )
 _SETS = [(n, a, frozenset(a)) for n, a in ENCODINGS]
@@ -97,7 +101,7 @@ def evidence(token: str) -> float:
     body = token.rstrip("=")
     held = set(body)
     name, alphabet, _ = next(x for x in _SETS if held <= x[2])
-    if name in ("digits", "letters", "LETTERS") or not held & set(_DIGITS) or UUID.fullmatch(body):
+    if name == "digits" or UUID.fullmatch(body):
         return 1.0
     at = {c: i for i, c in enumerate(alphabet)}
     if battery([at[c] for c in body], len(alphabet)) < REFUSE:
@@ -105,7 +109,9 @@ def evidence(token: str) -> float:
     prose = _PROSE[body[0]]
     for a, b in zip(body, body[1:], strict=False):
         prose += _PROSE[b] + (STAY if _CLASS[a] == _CLASS[b] else LEAVE)
-    return math.exp(min(0.0, prose + len(body) * math.log(len(alphabet))))
+    # Words of a language that the model doesn't know are letters, so letters alone need more.
+    more = 0.0 if held & set(_DIGITS) else math.log(LETTERS_ONLY)
+    return math.exp(min(0.0, prose + len(body) * math.log(len(alphabet)) + more))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -186,4 +192,4 @@ def scan(df: DataFrame, text_col: str = "text", keep_text: bool = False, redacte
             columns += [pa.array(c, k) for c, k in zip(found, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
-    return df.select(*dict.fromkeys([*others, text_col])).mapInArrow(run, schema)
+    return in_batches(df.select(*dict.fromkeys([*others, text_col])), run, schema)
