@@ -1,13 +1,14 @@
 """Licence scans by a trained paragraph classifier.
 
-A multinomial logistic regression over the word uni- and bigrams of a paragraph
-names a licence family or none. It is trained here from template paragraphs,
+A multinomial logistic regression over the word uni- and bigrams of a sentence
+names a licence family or none. It is trained here from template sentences,
 cut and varied by a seeded generator, and from a bounded sample of the corpus'
-own paragraphs. Scores are calibrated by a temperature fitted on held-out
-variants; a paragraph whose best family is not probable enough is unknown.
-Every named paragraph is then compared with the family's templates, and only
-those that hold enough of a template's word pairs, or it of theirs, are
-confirmed.
+own sentences. Scores are calibrated by a temperature fitted on held-out
+variants; a sentence that is probably a licence, but of no family probable
+enough, is unknown. Every named sentence is then compared with the family's
+templates: it is confirmed when it holds some of a template's word pairs, or
+they of its own, fewer than would tell families apart or a licence from prose
+without the classifier. Neighbouring sentences of one family are one span.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trawl.llm.common import in_batches
+
 # Usual wordings of licence grants and notices, by family.
 TEMPLATES = {
     "apache-2.0": (
@@ -90,14 +93,48 @@ TEMPLATES = {
         "This software is confidential and proprietary; unauthorized copying of this file, via any medium, is strictly prohibited.",
     ),
 }
+# What names a family in its templates, names of other licences, and usual wordings of other licences.
+NAMES = (
+    "GNU Lesser General Public", "GNU General Public", "GPL-3.0-or-later", "LGPL-2.1-only", "Mozilla Public", "MPL-2.0", "MPL", "Apache-2.0", "Apache", "BSD 3-Clause",
+    "BSD-3-Clause", "BSD-style", "MIT", "Creative Commons Attribution-ShareAlike 4.0 International", "Creative Commons Attribution-NonCommercial 4.0 International",
+    "Creative Commons Attribution 4.0 International", "Creative Commons Attribution-ShareAlike", "Creative Commons Attribution", "CC BY-SA 4.0", "CC BY-NC 4.0", "CC BY 4.0",
+    "CC0 1.0 Universal",
+)
+OTHER_NAMES = (
+    "Academic Free", "Artistic", "Boost Software", "Common Development and Distribution", "Eclipse Public", "Microsoft Public", "Open Software", "PostgreSQL", "Python Software Foundation",
+    "Q Public", "Ruby", "SIL Open Font", "Sleepycat", "University of Illinois", "W3C Software Notice", "Zope Public",
+)
+OTHERS = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "This is free and unencumbered software released into the public domain.",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0.",
+    "This package is distributed under the same terms as the language itself.",
+    "Licensed under the Open Software License version 3.0.",
+    "The fonts and derivatives, however, cannot be released under any other type of license.",
+)
+#: Sentences about rights, copies and conditions that are no licences.
+PROSE = (
+    "He was free to use the library and to copy any page without charge.", "The conditions of the sale were subject to the law of the land.",
+    "You should have received the letter along with the parcel last week.", "The author has agreed to read from this work in public.",
+    "All rights of way across the farm were closed.", "No part of the journey may be repeated this year.",
+    "The software is used by a person in every office of the company.", "Any person may obtain a copy of the report from the county.",
+    "The public licence of the inn was lost under its first owner.", "She had a license to drive and permission to use the car.",
+    "The terms of the treaty are provided in the second part of this book.", "The distribution of wealth and the use of land were debated in any form.",
+    "Copyright was the subject of the talk, with or without the author.", "The following conditions are met by a good teacher.",
+    "The warranty of the machine is limited to one year.", "The company may modify its plans at any later time.",
+    "This work is hard and this file is long.", "The foundation published a free version of its general report.",
+)
 NONE, UNKNOWN = "none", "unknown"
-#: Paragraphs of the corpus that teach what is no licence, at most; variants of each template.
-NEGATIVES, VARIANTS = 2000, 12
-#: Least calibrated probability of a family, and least share of word pairs in common with a template.
-LEAST_P, LEAST_SHARED = 0.6, 0.5
-#: A paragraph is a line; longer ones are read sentence by sentence.
-LONG_PARAGRAPH = 600
-SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?=\s)|[.!?]*\Z|[.!?])", re.S)
+BLANK = "____"
+#: Sentences of the corpus that teach what is no licence, at most, and characters of each; variants of each template.
+NEGATIVES, NEGATIVE_CHARS, VARIANTS = 2000, 2000, 16
+#: Least calibrated probability of a family, and least share of word pairs in common with one of its templates.
+LEAST_P, LEAST_SHARED = 0.6, 0.2
+#: Share of word pairs in common with a template that a sentence of the corpus must not have to teach what is no licence.
+TOO_MUCH_SHARED = 0.5
+SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s)|\Z)")
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 FOUND = T.StructType().add("n_paragraphs", "long").add("licenses", "string").add("n_licenses", "long").add("n_unknown", "long").add("license_spans", "string")
@@ -110,18 +147,25 @@ def features(text: str) -> list[str]:
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of lines that hold a word; those over ``LONG_PARAGRAPH`` characters by sentence."""
+    """(start, end) of the sentences of each line, without white space around them."""
     at = 0
     for line in text.split("\n"):
-        end = at + len(line)
-        if len(line) <= LONG_PARAGRAPH:
-            if line.strip():
-                yield at, end
-        else:
-            for m in SENTENCE.finditer(line):
-                if m.group().strip():
-                    yield at + m.start(), at + m.end()
-        at = end + 1
+        for m in SENTENCE.finditer(line):
+            yield at + m.start(), at + m.start() + len(m.group().rstrip())
+        at += len(line) + 1
+
+
+def pairs(text: str) -> set[str]:
+    """The word pairs of a text."""
+    return {f for f in features(text) if " " in f}
+
+
+def unnamed(text: str) -> str | None:
+    """A template with the name of its family left open, or None where none is named."""
+    for name in NAMES:
+        if name in text:
+            return text.replace(name, BLANK)
+    return None
 
 
 def overlap(mine: set[str], template: set[str]) -> float:
@@ -135,8 +179,8 @@ class Model:
 
     def __init__(self, vocabulary: dict[str, int], weights: np.ndarray, bias: np.ndarray, classes: list[str], temperature: float):
         self.vocabulary, self.weights, self.bias, self.classes, self.temperature = vocabulary, weights, bias, classes, temperature
-        self.pairs = {c: [{p for p in features(t) if " " in p} for t in TEMPLATES[c]] for c in classes[1:]}
-        self.telling = {w for w in vocabulary if " " in w}
+        self.pairs = {c: [pairs(t) for t in TEMPLATES[c]] for c in classes if c in TEMPLATES}
+        self.telling = {p for ts in TEMPLATES.values() for t in ts for p in pairs(t)}
 
     def probabilities(self, found: list[str]) -> np.ndarray:
         z = (self.logits(found)) / self.temperature
@@ -163,35 +207,42 @@ class Model:
         if best == 0:
             return None
         family = self.classes[best]
-        shared = self.shared(found, family)
-        if p[best] >= LEAST_P and shared >= LEAST_SHARED:
+        if family != UNKNOWN and p[best] >= LEAST_P and self.shared(found, family) >= LEAST_SHARED:
             return family
-        return UNKNOWN if p[0] < 0.5 and shared > 0.2 else None
+        # Two word pairs of licences at least, so that no single turn of phrase makes prose a licence.
+        return UNKNOWN if p[0] < 1 - LEAST_P and len(self.telling.intersection(found)) > 1 else None
+
 
+def train(negatives: list[str], seed: int = 42, rounds: int = 200) -> Model:
+    """Fit by gradient descent with L2 on varied templates and the corpus' sentences; every fourth variant calibrates.
 
-def train(negatives: list[str], seed: int = 42, rounds: int = 300) -> Model:
-    """Fit by gradient descent with L2 on varied templates and the corpus' paragraphs; every fourth variant calibrates."""
+    The unknown class learns from wordings of other licences and from the
+    templates under other names.
+    """
     rng = np.random.default_rng(seed)
-    classes = [NONE, *sorted(TEMPLATES)]
-    every = [{p for p in features(t) if " " in p} for ts in TEMPLATES.values() for t in ts]
+    classes = [NONE, *sorted(TEMPLATES), UNKNOWN]
+    every = [pairs(t) for ts in TEMPLATES.values() for t in ts]
     rows: list[tuple[list[str], int]] = []
     for text in negatives:
-        mine = {p for p in features(text) if " " in p}
         # The corpus may hold licences itself.
-        if mine and max(overlap(mine, t) for t in every) < LEAST_SHARED:
+        if (mine := pairs(text)) and max(overlap(mine, t) for t in every) < TOO_MUCH_SHARED:
             rows.append((features(text), 0))
     plain = [w for f, _ in rows for w in f if " " not in w] or ["text"]
-    for family in classes[1:]:
-        for text in TEMPLATES[family]:
-            source = text.split()
-            for k in range(VARIANTS):
-                kept = [w for w in source if k == 0 or rng.random() > 0.08] or source
-                if k > 3:
-                    cut = sorted(rng.integers(0, len(kept) + 1, 2))
-                    kept = kept[cut[0] : cut[1]] if cut[1] - cut[0] >= min(6, len(kept)) else kept
-                    kept = kept + [plain[i] for i in rng.integers(0, len(plain), rng.integers(0, 6))]
-                rows.append((features(" ".join(kept)), classes.index(family)))
-    vocabulary = {f: i for i, f in enumerate(sorted({f for t in every for f in t} | {w for ts in TEMPLATES.values() for t in ts for w in features(t)}))}
+    opened = [t for t in (unnamed(t) for ts in TEMPLATES.values() for t in ts) if t]
+    taught = [(text, classes.index(family)) for family in sorted(TEMPLATES) for text in TEMPLATES[family]]
+    taught += [(text, 0) for text in PROSE]
+    taught += [(text, len(classes) - 1) for text in (*OTHERS, *(t.replace(BLANK, OTHER_NAMES[(3 * i + j) % len(OTHER_NAMES)]) for i, t in enumerate(opened) for j in range(2)))]
+    for text, kind in taught:
+        source = text.split()
+        for k in range(VARIANTS):
+            lost = (0, 0.08, 0.2, 0.35)[k % 4]
+            words = [w for w in source if rng.random() >= lost] or source
+            if k > 7:
+                cut = sorted(rng.integers(0, len(words) + 1, 2))
+                words = words[cut[0] : cut[1]] if cut[1] - cut[0] >= min(6, len(words)) else words
+                words = words + [plain[i] for i in rng.integers(0, len(plain), rng.integers(0, 6))]
+            rows.append((features(" ".join(words)), kind))
+    vocabulary = {f: i for i, f in enumerate(sorted({f for text, _ in taught for f in features(text)}))}
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
     y = np.array([c for _, c in rows])
     for i, (found, _) in enumerate(rows):
@@ -221,36 +272,56 @@ def train(negatives: list[str], seed: int = 42, rounds: int = 300) -> Model:
 
 
 def negatives(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed: int = 42) -> list[str]:
-    """At most ``NEGATIVES`` paragraphs: one of each of the first documents in a seeded hash order."""
+    """At most ``NEGATIVES`` sentences, one of each of the first documents in a seeded hash order.
+
+    A bound on the hash leaves about four times as many documents before any
+    text is read; each gives one sentence of its whole text where it lies, and
+    of these the first go to the driver, cut to ``NEGATIVE_CHARS`` characters.
+    """
+    share = min(1.0, 4 * NEGATIVES / max(1, df.count()))
     order = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    few = df.where(F.length(text_col) > 0).select(F.substr(text_col, F.lit(1), F.lit(4 * LONG_PARAGRAPH)).alias("t"), order.alias("h")).orderBy("h").limit(NEGATIVES)
-    out = []
-    for i, r in enumerate(few.collect()):
-        spans = list(paragraphs(r.t))
-        if spans:
-            a, b = spans[i % len(spans)]
-            out.append(r.t[a:b])
-    return out
+    few = df.where(F.length(text_col) > 0).select(F.col(text_col).alias("t"), order.alias("h"))
+    few = few.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t, h in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                text = t.as_py()
+                if spans := list(paragraphs(text)):
+                    a, b = spans[(h >> 30) % len(spans)]
+                    out.append((h, text[a : min(b, a + NEGATIVE_CHARS)]))
+            h, t = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(t, pa.string())], ["h", "t"])
+
+    rows = in_batches(few, run, "h bigint, t string").orderBy("h", "t").limit(NEGATIVES).collect()
+    return [r.t for r in rows]
 
 
 def scan(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``df`` without its text and with the licences of each whole text.
 
     ``licenses``: the confirmed families, sorted, comma-joined; ``license_spans``:
-    family:start:end of each paragraph in order, ends exclusive, code points,
-    unknown ones included. Null texts count as empty. Repeated rows each get a
-    row; columns named like the new ones are replaced.
+    family:start:end in order, ends exclusive, code points, unknown ones
+    included; sentences of one family with nothing but white space between them
+    are one. ``n_paragraphs`` counts sentences. Null texts count as empty, very
+    long ones are whole. Repeated rows each get a row, and the family of equal
+    probabilities that comes first by name wins; columns named like the new ones
+    are replaced. An empty table gives no rows.
     """
     taken = {f.name for f in FOUND.fields}
     others = [c for c in df.columns if c != text_col and c.lower() not in taken]
     schema = T.StructType([*df.select(*others).schema.fields, *FOUND.fields])
 
     def one(text: str) -> tuple:
-        n, spans = 0, []
+        n, spans = 0, []  # (family, start, end)
         for a, b in paragraphs(text):
             n += 1
             if family := model.classify(text[a:b]):
-                spans.append((family, a, b))
+                if spans and spans[-1][0] == family and not text[spans[-1][2] : a].strip():
+                    spans[-1] = (family, spans[-1][1], b)
+                else:
+                    spans.append((family, a, b))
         named = [f for f, _, _ in spans if f != UNKNOWN]
         return n, ",".join(sorted(set(named))), len(named), len(spans) - len(named), ",".join(f"{f}:{a}:{b}" for f, a, b in spans)
 
@@ -261,4 +332,4 @@ def scan(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             found = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *(pa.array(c, k) for c, k in zip(found, kinds, strict=True))], schema.fieldNames())
 
-    return df.select(*others, text_col).mapInArrow(run, schema)
+    return in_batches(df.select(*others, text_col), run, schema)
