@@ -92,6 +92,18 @@ def test_tree_matching_against_the_textbook():
         assert html_wrapper.size(a) == both
 
 
+def test_halved_tables_match_as_much(monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(html_wrapper, "HELD_CELLS", 6)
+    for _ in range(60):
+        a, b = random_tree(rng), random_tree(rng)
+        a.children += [random_tree(rng, 2) for _ in range(12)]
+        b.children += [random_tree(rng, 2) for _ in range(9)]
+        want = html_wrapper.size(a) + html_wrapper.size(b) - best_matching(a, b)
+        html_wrapper.merge(a, b)
+        assert html_wrapper.size(a) == want
+
+
 def test_nothing_of_an_article_is_lost():
     deep = "<div><article><p>before</p>" + "<div>" * 400 + "deep" + "</div>" * 400 + "<p>after</p></article></div>"
     assert html_wrapper.extract(deep) == "before\ndeep\nafter"
@@ -137,6 +149,21 @@ def test_wrappers_decide_where_no_element_marks_the_article(spark):
     assert without == len(want) and with_ < 0.2 * len(want)
 
 
+def test_pages_that_mark_their_article_go_through_wrappers(spark):
+    shell = "<body><div><p>Call us on weekdays.</p></div>{0}<div><p>All rights with us.</p></div>"
+    article = "<article><p>A line of every article.</p><p>Story {0} goes on and on.</p></article>"
+    rows = [(i, "http://h/a", shell.format(article.format(i))) for i in range(8)]
+    # One page of the host marks nothing: the others' shell is its shell.
+    rows.append((8, "http://h/b", shell.format("<div class=text><p>A page of its own kind.</p></div>")))
+    rows += [(10 + i, "http://m/a", f"<body><main><h1>Title {i}</h1><div><p>We print daily, order now.</p></div>{article.format(i)}</main>") for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.main_text for r in html_wrapper.main_text(df).collect()}
+    assert got.pop(8) == "A page of its own kind."
+    story = "A line of every article.\nStory {0} goes on and on."
+    want = {i: story.format(i) for i in range(8)} | {10 + i: f"Title {i}\n" + story.format(i) for i in range(5)}
+    assert got == want
+
+
 def test_broadcast_and_joined_wrappers_agree(spark, monkeypatch):
     rows = [(i, f"http://h{i % 4}/a", SHELL.format(f"word{i}")) for i in range(40)] + [(90, None, SHELL.format("none")), (91, "http://h1/b", None)]
     rows += [(92, "http://h1/c", "<article><p>Welcome to our site, read on.</p></article>")] * 2

@@ -4,16 +4,17 @@ Pages of one host are aligned by simple tree matching into a wrapper tree, which
 counts for each of its text nodes in how many pages it stands and which texts
 recur there. A node with one text in most of its pages is constant and becomes
 template; a node whose text varies is a slot and becomes content. Wrappers are
-made from all pages that need one: those whose article no ``article`` or
-``main`` element marks. Each task merges its pages, and a host's parts are then
-merged alike, so what meets in one task grows with the number of tasks and not
-with the pages; a slot keeps a few counted texts only (Misra and Gries).
+made from all pages, and every page is read through its host's. Each task merges
+its pages, and a host's parts are then merged alike, so what meets in one task
+grows with the number of tasks and not with the pages; a slot keeps a few counted
+texts only (Misra and Gries).
 
 Elements that are no part of an article by tag, class, id or role (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments) are left out first. Where a page marks its article, all the rest of it
-is content and template knowledge takes nothing away. Parsing, alignment and
-reading keep their own stacks, so neither depth nor length of a page has a limit.
+comments) are left out first. A check follows where a page marks its article by
+``article`` or ``main``: constant texts within it are put back, and slots outside
+it go. Parsing, alignment and reading keep their own stacks, so neither depth nor
+length of a page has a limit.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ LEAST_PAGES, LEAST_SHARE = 3, 0.6
 LEAST_LEFT = 0.25
 #: Texts that a node of a wrapper counts: a text in more than one of nine pages of a node is among them.
 COUNTED = 8
-#: Nodes of the wrappers that a task holds at once; then it hands them on.
+#: Nodes of a host's wrappers that a task holds at once; then it hands them on.
 HELD_NODES = 100_000
 #: All wrappers together are sent to every task up to this size; beyond, only those of the hosts with most pages are.
 BROADCAST_BYTES = 16 << 20
@@ -75,8 +76,10 @@ CHROME_WITHIN = re.compile(
     r"(?:related|recommended)(?:[_-](?:posts?|articles?|stories|links|content))?|widget)(?:$|\s)", re.I)
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 ARTICLE = frozenset(("article", "main"))
-#: A page that this doesn't match marks no article (Java and RE2 syntax).
-MAY_MARK = r"(?i)<(article|main)[\s/>]"
+#: Cells of a table of matchings that is held whole; larger ones are halved until they fit, with the same matching size.
+HELD_CELLS = 1 << 21
+#: Where a block stands: outside what the page marks, in a ``main`` beside the article that it holds, in the article.
+OUTSIDE, BESIDE, WITHIN = 0, 1, 2
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^<>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 TEXT = "#"
@@ -289,23 +292,59 @@ class Shapes:
             elif self.of[x][0] != self.of[y][0]:
                 self.memo[x, y] = 0
             else:
-                left, right = self.of[x][1], self.of[y][1]
+                _, left, right, _ = apart(self.of[x][1], self.of[y][1])
                 missing = {(p, q) for p in set(left) for q in set(right) if (p, q) not in self.memo}
                 if missing:
                     stack += missing
                 else:
-                    self.memo[x, y] = 1 + self.table(left, right)[-1][-1]
+                    alike = (self.of[x][2] - 1) - sum(self.of[p][2] for p in left)
+                    self.memo[x, y] = 1 + alike + int(self.table(left, right, last=True)[-1])
         return self.memo[a, b]
 
-    def table(self, left: tuple, right: tuple) -> list[list[int]]:
-        """Best matchings of all beginnings of two rows of children whose pairs are known."""
-        out = [[0] * (len(right) + 1)]
-        for p in left:
-            row, above = [0], out[-1]
-            for j, q in enumerate(right):
-                row.append(max(row[j], above[j + 1], above[j] + self.memo[p, q]))
-            out.append(row)
-        return out
+    def table(self, left: tuple, right: tuple, last: bool = False) -> np.ndarray:
+        """Best matchings of all beginnings of two rows of children whose pairs are known, or the ``last`` row of these alone."""
+        out = np.zeros((2 if last else len(left) + 1, len(right) + 1), np.int64)
+        kinds, at = np.unique(np.array(right, np.int64), return_inverse=True)
+        gains = {p: np.array([self.memo[p, q] for q in kinds.tolist()], np.int64) for p in set(left)}
+        for i, p in enumerate(left):
+            above, row = (out[i % 2], out[1 - i % 2]) if last else (out[i], out[i + 1])
+            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + gains[p][at]), out=row[1:])
+        return out[len(left) % 2] if last else out
+
+    def pairs(self, left: tuple, right: tuple) -> list[tuple[int, int]]:
+        """Places of the children that a best matching of two rows pairs, in order."""
+        found: list[tuple[int, int]] = []
+        stack = [(0, len(left), 0, len(right))]
+        while stack:
+            a, b, c, d = stack.pop()
+            if b - a > 1 and (b - a + 1) * (d - c + 1) > HELD_CELLS:
+                half = (a + b) // 2
+                ends = self.table(left[half:b][::-1], right[c:d][::-1], last=True)[::-1]
+                cut = c + int(np.argmax(self.table(left[a:half], right[c:d], last=True) + ends))
+                stack += [(a, half, c, cut), (half, b, cut, d)]
+                continue
+            table, i, j = self.table(left[a:b], right[c:d]), b - a, d - c
+            while i and j:
+                m = self.memo[left[a + i - 1], right[c + j - 1]]
+                if m and table[i, j] == table[i - 1, j - 1] + m:
+                    found.append((a + i - 1, c + j - 1))
+                    i, j = i - 1, j - 1
+                elif table[i, j] == table[i - 1, j]:
+                    i -= 1
+                else:
+                    j -= 1
+        return sorted(found)
+
+
+def apart(left: tuple, right: tuple) -> tuple[int, tuple, tuple, int]:
+    """(length of the equal beginnings of two rows, what lies between, length of the equal ends).
+
+    A best matching pairs equal beginnings and ends node by node, as no node matches more than its own size.
+    """
+    least = min(len(left), len(right))
+    begin = next((i for i in range(least) if left[i] != right[i]), least)
+    end = next((i for i in range(least - begin) if left[-1 - i] != right[-1 - i]), least - begin)
+    return begin, left[begin : len(left) - end], right[begin : len(right) - end], end
 
 
 def merge(wrapper: Wrapped, page: Wrapped) -> None:
@@ -319,28 +358,42 @@ def merge(wrapper: Wrapped, page: Wrapped) -> None:
         a, b = stack.pop()
         a.count += b.count
         a.texts = counted(a.texts, b.texts)
-        left, right = [c.shape for c in a.children], [c.shape for c in b.children]
-        if left == right:
-            stack += zip(a.children, b.children, strict=True)
-            continue
+        begin, left, right, end = apart(tuple(c.shape for c in a.children), tuple(c.shape for c in b.children))
+        stack += zip(a.children[:begin], b.children[:begin], strict=True)
+        stack += zip(a.children[begin + len(left) :], b.children[begin + len(right) :], strict=True)
         for p in set(left):
             for q in set(right):
                 shapes.match(p, q)
-        table = shapes.table(tuple(left), tuple(right))
-        i, j, row = len(left), len(right), []
-        while i or j:
-            m = shapes.memo[left[i - 1], right[j - 1]] if i and j else 0
-            if m and table[i][j] == table[i - 1][j - 1] + m:
-                stack.append((a.children[i - 1], b.children[j - 1]))
-                row.append(a.children[i - 1])
-                i, j = i - 1, j - 1
-            elif i and (not j or table[i][j] == table[i - 1][j]):
-                row.append(a.children[i - 1])
-                i -= 1
-            else:
-                row.append(b.children[j - 1])
-                j -= 1
-        a.children = row[::-1]
+        row, i, j = [], begin, begin
+        for x, y in [*(shapes.pairs(left, right) if left and right else ()), (len(left), len(right))]:
+            row += b.children[j : begin + y] + a.children[i : begin + x]
+            i, j = begin + x + 1, begin + y + 1
+            if x < len(left):
+                stack.append((a.children[begin + x], b.children[begin + y]))
+                row.append(a.children[begin + x])
+        a.children[begin : begin + len(left)] = row
+
+
+class Merged:
+    """Wrappers merged two of a rank at a time, so that most merges are of small ones."""
+
+    def __init__(self):
+        self.ranks: list[tuple[int, Wrapped]] = []
+
+    def add(self, wrapper: Wrapped) -> None:
+        rank = 0
+        while self.ranks and self.ranks[-1][0] == rank:
+            first = self.ranks.pop()[1]
+            merge(first, wrapper)
+            wrapper, rank = first, rank + 1
+        self.ranks.append((rank, wrapper))
+
+    def whole(self) -> Wrapped | None:
+        """All of them as one."""
+        while len(self.ranks) > 1:
+            last = self.ranks.pop()[1]
+            merge(self.ranks[-1][1], last)
+        return self.ranks[0][1] if self.ranks else None
 
 
 def size(root: Wrapped) -> int:
@@ -390,13 +443,10 @@ def template(root: Wrapped) -> bytes:
 
 def induce(pages: list[str]) -> bytes:
     """The template of pages of one host; copies of one page count once."""
-    whole: Wrapped | None = None
+    merged = Merged()
     for source in dict.fromkeys(pages):
-        page = wrapped(marked(parse(source))[0])
-        if whole is None:
-            whole = page
-        else:
-            merge(whole, page)
+        merged.add(wrapped(marked(parse(source))[0]))
+    whole = merged.whole()
     return template(whole) if whole is not None else b""
 
 
@@ -408,81 +458,98 @@ def _constant(wrapper: bytes) -> frozenset[int]:
     return frozenset(np.frombuffer(wrapper, np.uint64).tolist())
 
 
-def _blocks(top: Node, path: int, constant: frozenset[int]) -> Iterator[tuple[str, bool]]:
-    """(text, whether any of it varies) of each block below an element, in page order."""
+def _holds_article(main: Node) -> bool:
+    stack = list(main.children)
+    while stack:
+        node = stack.pop()
+        if not node.chrome:
+            if node.tag == "article":
+                return True
+            stack += node.children
+    return False
+
+
+def _blocks(root: Node, articles: list[Node], constant: frozenset[int]) -> Iterator[tuple[str, bool, int]]:
+    """(text, whether any of it varies, where it stands) of each block of a page, in page order."""
+    marks = {id(a): BESIDE if a.tag == "main" and _holds_article(a) else WITHIN for a in articles}
     said: list[str] = []
-    varies = False
-    stack: list[tuple[Node | None, int]] = [(c, path) for c in reversed(top.children)]
+    varies, at = False, OUTSIDE
+    stack: list[tuple[Node | None, int, int]] = [(c, 0, OUTSIDE) for c in reversed(root.children)]
     while stack:
-        node, path = stack.pop()
+        node, path, place = stack.pop()
         if node is not None and node.tag == TEXT:
             said.append(node.text)
+            at = place
             if not varies and (text := squeezed(node.text)):
                 varies = not constant or _hash(_hash(path, TEXT), str(_hash(0, text))) not in constant
         elif node is not None and node.tag == "br":
             said.append(" ")
         elif node is None or not node.chrome:
             if node is None or node.tag in BLOCK:
-                yield squeezed("".join(said)), varies
+                yield squeezed("".join(said)), varies, at
                 said, varies = [], False
             if node is not None:
+                place = marks.get(id(node), WITHIN if place == BESIDE and node.tag == "article" else place)
                 below = _hash(path, node.label) if constant else 0
                 if node.tag in BLOCK:
-                    stack.append((None, 0))
-                stack += ((c, below) for c in reversed(node.children))
-    yield squeezed("".join(said)), varies
+                    stack.append((None, 0, place))
+                stack += ((c, below, place) for c in reversed(node.children))
+    yield squeezed("".join(said)), varies, at
 
 
 def extract(source: str, wrapper: bytes = b"") -> str:
     """Main text of a page: one line a block, white space in a block as single spaces.
 
-    Where elements mark the article, all blocks in them that are no chrome; else
-    all such blocks of the page that hold a text which the wrapper doesn't know
-    as constant there, or all blocks where hardly any would be left.
+    The slots: all blocks that are no chrome and hold a text which the wrapper
+    doesn't know as constant there, or all blocks where hardly any would be left.
+    Where elements mark the article, only blocks in them count, and its constant
+    blocks are put back. A ``main`` that holds an ``article`` marks by it: beside
+    the article, slots of ``main`` stay.
     """
     root, articles = marked(parse(source))
-    if articles:
-        return "\n".join(t for a in articles for t, _ in _blocks(a, 0, frozenset()) if t)
-    blocks = [(t, varies) for t, varies in _blocks(root, 0, _constant(wrapper)) if t]
-    left = sum(len(t) for t, varies in blocks if varies)
-    whole = left < LEAST_LEFT * sum(len(t) for t, _ in blocks)
-    return "\n".join(t for t, varies in blocks if varies or whole)
+    blocks = [b for b in _blocks(root, articles, _constant(wrapper)) if b[0] and (b[2] != OUTSIDE or not articles)]
+    left = sum(len(t) for t, varies, at in blocks if varies or at == WITHIN)
+    whole = left < LEAST_LEFT * sum(len(t) for t, _, _ in blocks)
+    return "\n".join(t for t, varies, at in blocks if varies or at == WITHIN or whole)
 
 
 def wrappers(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
-    """(host, wrapper, held): constant texts of each host's pages, and how many rows they are; copies of one html count once."""
-    rows = pages.select(F.col(host_col).alias("host"), F.col(html_col).alias("html"))
+    """(host, wrapper, held): constant texts of each host's pages, and how many rows they are; copies of one html count once.
+
+    Pages are moved as trees of labels and hashes of texts, not as html.
+    """
+    rows = pages.select(F.col(host_col).alias("host"), F.coalesce(html_col, F.lit("")).alias("html"))
     held = rows.groupBy("host").agg(F.count("*").alias("held"))
-    once = rows.withColumn("h", F.xxhash64("html")).dropDuplicates(["host", "h"]).select("host", "html")
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hosts: dict[str, Wrapped] = {}
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees = [packed(wrapped(marked(parse(source.as_py()))[0])) for source in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trees, pa.string())], ["host", "h", "tree"])
 
-        def rows_of() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(hosts), pa.string()), pa.array(map(packed, hosts.values()), pa.string())], ["host", "tree"])
-            hosts.clear()
-            return made
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([packed(merged.whole())], pa.string())], ["host", "tree"])
 
-        nodes = 0
+        now, merged, nodes = None, Merged(), 0
         for batch in batches:
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                page = wrapped(marked(parse(source.as_py()))[0])
+            for host, tree in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if merged.ranks and (host != now or nodes >= HELD_NODES and (nodes := size(merged.whole())) >= HELD_NODES):
+                    yield row()
+                    merged, nodes = Merged(), 0
+                now, page = host, unpacked(tree.as_py())
                 nodes += size(page)
-                if host in hosts:
-                    merge(hosts[host], page)
-                else:
-                    hosts[host] = page
-                if nodes >= HELD_NODES and (nodes := sum(map(size, hosts.values()))) >= HELD_NODES:
-                    yield rows_of()
-                    nodes = 0
-        yield rows_of()
+                merged.add(page)
+        if merged.ranks:
+            yield row()
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
-        trees = [unpacked(t) for t in sorted(group["tree"])]
-        for t in trees[1:]:
-            merge(trees[0], t)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [template(trees[0])]})
+        merged = Merged()
+        for t in sorted(group["tree"]):
+            merged.add(unpacked(t))
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [template(merged.whole())]})
 
+    trees = in_batches(rows.select("host", F.xxhash64("html").alias("h"), "html"), parsed, "host string, h bigint, tree string")
+    once = trees.dropDuplicates(["host", "h"]).sortWithinPartitions("host", "h").select("host", "tree")
     made = in_batches(once, part, "host string, tree string").groupBy("host").applyInPandas(whole, "host string, wrapper binary")
     return made.join(held, "host")
 
@@ -496,18 +563,14 @@ def main_text(df: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
     """
     others = [c for c in df.columns if c != html_col and c.lower() not in ("main_text", "main_chars")]
     keyed = df.select(*others, html_col, F.coalesce(split_url(F.col(url_col))[0], F.lit("")).alias("_host"))
-    needs = F.coalesce(~F.col(html_col).rlike(MAY_MARK), F.lit(False))
-    made = checkpointed(wrappers(keyed.where(needs), "_host", html_col))
-    bytes_ = made.agg(F.sum(F.length("host") + F.length("wrapper"))).first()[0]
-    none = F.lit(None).cast("binary").alias("_wrapper")
-    if bytes_ is None:
-        joined = keyed.select("*", none)
-    elif bytes_ <= BROADCAST_BYTES:
+    made = checkpointed(wrappers(keyed, "_host", html_col))
+    bytes_ = made.agg(F.sum(F.length("host") + F.length("wrapper"))).first()[0] or 0
+    if bytes_ <= BROADCAST_BYTES:
         named = F.broadcast(made.select(F.col("host").alias("_known"), F.col("wrapper").alias("_wrapper")))
-        joined = keyed.join(named, needs & (F.col("_host") == F.col("_known")), "left").drop("_known")
+        joined = keyed.join(named, F.col("_host") == F.col("_known"), "left").drop("_known")
     else:
         named = made.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper"), "held")
-        joined = joined_labels(keyed.where(needs), named, "_host").unionByName(keyed.where(~needs).select("*", none))
+        joined = joined_labels(keyed, named, "_host")
     schema = T.StructType([*df.select(*others).schema.fields, T.StructField("main_text", T.StringType()), T.StructField("main_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
