@@ -33,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
+    """One document of each group of near duplicates, the one with the smallest id: SimHash balls, then the exact similarity."""
     return jaccard.keep_representatives(docs, shingle=SHINGLE, similarity=SIMILARITY).select(*COLUMNS)
 
 

@@ -4,8 +4,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from tests.llm.test_simhash import roots
-from trawl.llm import jaccard
+from trawl.llm import jaccard, simhash
 
 
 def sets(texts, shingle=5):
@@ -106,3 +108,25 @@ def test_whole_table_against_all_pairs(spark):
     want = roots(sorted(s), lambda a, b: (a, b) in pairs or (b, a) in pairs or not s[a] and not s[b])
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert len(pairs) > 20 and sorted(r.doc_id for r in jaccard.keep_representatives(df).collect()) == sorted(set(want.values()))
+
+
+def test_near_copies_meet_in_balls(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(400)]
+        for _ in range(4):
+            texts.append(" ".join(base))
+            base[rng.choice([0, 399])] = word()
+    prints = [simhash.majority(h) for _, h in jaccard.shingle_sets(pa.array(texts), 5)]
+    want = sorted(set(roots(list(range(len(texts))), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2).values()))
+    assert 25 <= len(want) < 60
+    # The balls find them where prefixes find nothing,
+    with monkeypatch.context() as m:
+        m.setattr(jaccard, "viable", lambda *_: F.lit(False))
+        assert kept(spark, texts) == want
+    # and what meets by chance is told apart by its sets.
+    links = lambda words: words.alias("x").crossJoin(words.alias("y")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).where("a < b")
+    monkeypatch.setattr(jaccard, "links", links)
+    assert kept(spark, texts) == list(range(0, 100, 4))

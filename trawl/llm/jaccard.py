@@ -1,8 +1,10 @@
 """Near duplicates by the exact Jaccard similarity of shingle sets: the form of near-dedup for a similarity threshold.
 
-SimHash balls can't serve here: at a similarity of 0.8 two 64-bit fingerprints
+SimHash balls come first: nodes whose fingerprints (the majority of a set's
+hashes) are within two bits meet by one shuffle of variants and are linked in
+chains. Balls alone can't serve: at a similarity of 0.8 two 64-bit fingerprints
 differ in about ten bits, and the half radius that would catch nearly all such
-pairs has billions of variants. Prefix filtering finds every pair instead: with
+pairs has billions of variants. Prefix filtering finds the pairs beyond: with
 all shingles in one order, two sets of similarity s or more share one of the
 first ``n - ceil(s n) + 1`` shingles of each. Shingles that a sample of the texts shows to be frequent come last, so
 that a passage in many documents is hardly ever among the first; the order only
@@ -13,7 +15,7 @@ to it with every holder of another component, so no pair that could link is left
 out. Holders of a frequent shingle are dealt over salts by its estimated count,
 so no task sees all of them. Counts of the shingles by hash bound the difference
 of two sets from below and spare most pairs the shuffle of their sets, which
-decide all others.
+decide all others, those of the balls among them.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.common import checkpointed, collect_garbage, in_batches
-from trawl.llm.simhash import SEED, components, keyed, one_per_root, rooted
+from trawl.llm.common import checkpointed, collect_garbage, in_batches, joined_labels
+from trawl.llm.simhash import SEED, components, keyed, links, majority, one_per_root, rooted
 
 #: Frequent shingles are counted in one of so many texts, from so many of these on; the most frequent are known to all tasks.
 SAMPLE, OFTEN, MOST_FREQUENT = 16, 4, 1 << 20
@@ -188,32 +190,48 @@ class Order:
 
 
 def prefixes(df: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """``df`` without its text and with node, n (distinct shingles), counts by class, prefix, and parts: over how many
-    salts the holders of each frequent shingle (the last ones of the prefix) are dealt."""
+    """``df`` without its text and with node, fp (64-bit SimHash of the set), n (distinct shingles), counts by class, prefix,
+    and parts: over how many salts the holders of each frequent shingle (the last ones of the prefix) are dealt."""
     others = [c for c in df.columns if c != text_col]
-    schema = df.select(*others).schema.add("node", T.LongType()).add("n", T.LongType()).add("counts", T.ArrayType(T.ByteType()))
+    schema = df.select(*others).schema.add("node", T.LongType()).add("fp", T.LongType()).add("n", T.LongType()).add("counts", T.ArrayType(T.ByteType()))
     schema = schema.add("prefix", T.ArrayType(T.LongType())).add("parts", T.ArrayType(T.IntegerType()))
     shared = df.sparkSession.sparkContext.broadcast(frequent(df, text_col, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Order(shared.value)
         for batch in batches:
-            nodes, sizes, fronts, parts = [], [], [], []
+            nodes, prints, sizes, fronts, parts = [], [], [], [], []
             counts = np.empty((batch.num_rows, CLASSES), np.int8)
             for row, (node, h) in enumerate(shingle_sets(batch.column(text_col), shingle)):
                 counts[row] = np.minimum(np.bincount((h % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES), MOST)
                 nodes.append(node)
+                prints.append(majority(h))
                 sizes.append(len(h))
                 front, often = order.prefix(h, similarity)
                 fronts.append(front.view(np.int64))
                 parts.append((often * SAMPLE + PER_SALT - 1) // PER_SALT)
             counted = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * CLASSES), pa.array(counts.reshape(-1)))
-            columns = [_signed(nodes), pa.array(sizes, pa.int64()), counted, _lists(fronts, np.int64), _lists(parts, np.int32)]
+            columns = [_signed(nodes), _signed(prints), pa.array(sizes, pa.int64()), counted, _lists(fronts, np.int64), _lists(parts, np.int32)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *columns], schema.fieldNames())
 
     return in_batches(df.select(*others, text_col), run, schema)
 
 
+def in_balls(found: DataFrame) -> DataFrame:
+    """(a, b): nodes that meet by SimHash; ``found`` has node and fp.
+
+    The least node of a fingerprint meets its others, and those of fingerprints
+    that follow each other among the holders of a variant.
+    """
+    nodes = checkpointed(found.select("node", "fp").dropDuplicates(["node"]))
+    tops = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("top"), F.count("*").alias("held")))
+    same = joined_labels(nodes, tops.where("held > 1"), "fp").select(F.col("top").alias("a"), F.col("node").alias("b")).where("a <> b")
+    near = checkpointed(links(tops.select("fp")))
+    for x in ("a", "b"):
+        near = near.join(tops.select(F.col("fp").alias(x), F.col("top").alias(f"top_{x}")), x)
+    return checkpointed(same.union(near.select("top_a", "top_b")))
+
+
 def sets_of(df: DataFrame, text_col: str, shingle: int, nodes: DataFrame) -> DataFrame:
     """(node, set) of the texts whose node is in ``nodes``; a filter of fixed size spares the others their shuffle."""
     slot = F.pmod("node", F.lit(FILTER_BITS))
@@ -263,6 +281,8 @@ def verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text_col: str, s
 
 def similar_roots(df: DataFrame, found: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(node, root) of the nodes that are connected to others by pairs of the similarity; ``found`` is ``prefixes`` of ``df``."""
+    balls = in_balls(found)
+    collect_garbage(df.sparkSession)
     nodes = found.select("node", "n", "prefix", "parts").dropDuplicates(["node"])
     counts = found.select("node", "n", "counts").dropDuplicates(["node"])
     rare = F.size("prefix") - F.size("parts")
@@ -295,7 +315,7 @@ def similar_roots(df: DataFrame, found: DataFrame, text_col: str, shingle: int,
     starts = heads.select("shingle", "h.*", salts)
     pairs = met(few, few, ["shingle"], "x.node < y.node").union(met(starts, many, ["shingle", "salt"], "x.node <> y.node"))
     collect_garbage(df.sparkSession)
-    near = verified(pairs, df, counts, text_col, shingle, similarity)
+    near = verified(balls.union(pairs), df, counts, text_col, shingle, similarity)
     label = components(near)
     collect_garbage(df.sparkSession)
     if many.isEmpty():
