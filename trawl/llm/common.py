@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +61,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def give_back() -> None:
+    """Return to the system what this Python process has freed."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)`` with batches that fit long texts; the session's own limits stay where they are smaller."""
     conf = df.sparkSession.conf
@@ -70,10 +79,8 @@ def in_batches(df: DataFrame, run, schema) -> DataFrame:
 
     def released(batches):
         yield from run(batches)
-        # Workers live on after a task: what it freed goes back to the system.
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        # Workers live on after a task.
+        give_back()
 
     return df.mapInArrow(released, schema)
 
@@ -85,9 +92,35 @@ def local_rows(spark: SparkSession, rows: list[tuple], **kinds: pa.DataType) ->
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffles and checkpoints that nothing refers to any more."""
+    """Let Spark's cleaner drop the shuffles and checkpoints that nothing refers to any more; the driver's freed memory goes back to the system."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    give_back()
+    trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> None:
+    """Return to the system what the driver's JVM has freed outside its heap, which its C library keeps otherwise.
+
+    JVMs without the command (before 17.0.9) keep it.
+    """
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    of = jvm.java.lang.Class.forName
+
+    def array(kind, *items):
+        out = new_array(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    with contextlib.suppress(Py4JError):
+        kinds = map(of, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"))
+        # The server's own class is closed to reflection, its interface is not.
+        invoke = of("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *kinds))
+        commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        none = array(jvm.java.lang.Object), array(jvm.java.lang.String)
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke.invoke(server, array(jvm.java.lang.Object, commands, "systemTrimNativeHeap", *none))
 
 
 def without_keys(df: DataFrame, keys: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.common import checkpointed, free_name, in_batches, joined_labels, row_key, without_keys
+from trawl.llm.common import checkpointed, collect_garbage, free_name, in_batches, joined_labels, row_key, without_keys
 
 ORDER = 5
 #: A document passes within this many standard deviations of its language's median.
@@ -234,6 +234,7 @@ def train(counted: DataFrame) -> DataFrame:
     levels = {ORDER: checkpointed(counted)}
     for k in range(ORDER - 1, 0, -1):
         levels[k] = checkpointed(levels[k + 1].groupBy("lang", F.substr("gram", F.lit(2), F.lit(k)).alias("gram")).agg(F.count("*").alias("n")))
+    collect_garbage(counted.sparkSession)
     cut = checkpointed(discounts(levels))
     # One row a language and order.
     cut = F.broadcast(cut) if cut.count() <= BROADCAST_ROWS else cut
@@ -467,7 +468,10 @@ def quality(df: DataFrame, text_col: str = "text", lang_col: str = "lang", width
     scored once; the scores are checkpointed.
     """
     model = checkpointed(train(count_ngrams(df, text_col, lang_col)))
-    return judged(checkpointed(score(df, model, text_col, lang_col)), lang_col, width)
+    collect_garbage(df.sparkSession)
+    scored = checkpointed(score(df, model, text_col, lang_col))
+    collect_garbage(df.sparkSession)
+    return judged(scored, lang_col, width)
 
 
 def kept(df: DataFrame, text_col: str = "text", lang_col: str = "lang", width: float = BAND_WIDTH) -> DataFrame:
