@@ -72,6 +72,17 @@ def test_duplicates_redirects_and_failures(spark):
     assert ("http://a.test/two", "http://a.test/from-two") in {(r.src, r.dst) for r in done.links.collect()}
 
 
+def test_bodies_are_not_broadcast(spark):
+    urls = F.concat(F.lit("http://a.test/"), F.col("id").cast("string"))
+    bodies = spark.range(500).select(urls.alias("url"), F.repeat(F.lit("x"), 1000).alias("html"))
+    asked = spark.range(0, 600, 100).select(urls.alias("url"))
+    for count, plan in ((6, "BroadcastHashJoin [url#"), (crawl.BROADCAST_URLS + 1, "SortMergeJoin")):
+        got = crawl.answers(asked, bodies, count)
+        assert sorted(r.url for r in got.collect()) == [f"http://a.test/{i}" for i in range(0, 500, 100)]
+        text = got._jdf.queryExecution().optimizedPlan().toString() + got._jdf.queryExecution().sparkPlan().toString()
+        assert plan in text and "rightHint=(strategy=broadcast)" not in text and "BuildRight" not in text
+
+
 def test_attempts(spark):
     rows = [("u", 503, 0), ("u", 200, 1), ("u", 200, 2), ("v", None, 0), ("v", 429, 1), ("v", 503, 2), ("v", 200, 3), ("w", 404, 0)]
     df = spark.createDataFrame(rows, "url string, status int, attempt int")
