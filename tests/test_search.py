@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,56 @@ def test_codec_columns(spark):
     assert [r.s for r in df.orderBy("n").select(ix.vbyte_size(F.col("n")).alias("s")).collect()] == [1, 1, 2, 2, 3, 5, 9]
 
 
+def exchanges(df):
+    """Exchanges of the plan before it runs."""
+    return df._jdf.queryExecution().sparkPlan().toString().count("Exchange"), df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_index_is_made_without_a_shuffle_of_tokens(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "The the cat"), (2, None), (3, "cat's ß, the"), (3, "the dog")], "doc_id long, text string")
+    once = docs.where("doc_id < 3 or text like 'cat%'")
+    rows = ix.forward(once, exact=False)
+    assert exchanges(rows) == (0, 0)
+    assert [(r.doc_id, sorted(zip(r.terms, r.tfs, r.positions, strict=True))) for r in rows.orderBy("doc_id").collect()] == [
+        (1, [("cat", 1, [2]), ("the", 2, [0, 1])]), (2, []), (3, [("cat", 1, [0]), ("s", 1, [1]), ("ss", 1, [2]), ("the", 1, [3])])]
+    # Rows of one id are one document.
+    assert {r.term: (r.tf, r.positions) for r in ix.postings(docs).where("doc_id = 3").collect()}["the"] == (2, [0, 3])
+    ix.save(ix.build(docs, "english"), str(tmp_path))
+    again = ix.load(spark, str(tmp_path))
+    assert {(r.term, r.doc_id): r.positions for r in again.postings.collect()}[("cat", 3)] == [0] and again.sizes() == (4, 7)
+
+
+def test_batch_keeps_the_best_of_each_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(["a"] * (i % 3 + 1) + ["b"] * (i % 2) + ["c"] * (i % 7))) for i in range(90)], "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (2, "a"), (3, "none")], "qid long, term string")
+    index = ix.build(docs)
+    found = rank.batch(index, asked, 7, remove_self=True, digits=6)
+    # One exchange deals the documents above and one the ranks; none is by document.
+    assert exchanges(found)[1] == 2 and "doc_id" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+    rows = lambda df: sorted(map(tuple, df.select("qid", "doc_id", "score", "rank").collect()))
+    few = rows(found)
+    monkeypatch.setattr(rank, "SENT_TERMS", 0)
+    assert len(few) == 14 and few == rows(rank.batch(index, asked, 7, remove_self=True, digits=6))
+    wanted = asked.where("qid < 3")
+    joined = sorted(map(tuple, rank.holding(index, wanted).collect()))
+    monkeypatch.setattr(rank, "SENT_TERMS", 100)
+    assert joined == sorted(map(tuple, rank.holding(index, wanted).collect())) and len(joined) > 50
+
+
+def test_rounding_is_that_of_spark(spark):
+    values = [0.1234565, 2.5000005, 1.0000015, 3.9999995, 1e-7, 12.3456784999999, 7.0, 0.0, 1234.5678905]
+    want = [r.s for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 6).alias("s")).collect()]
+    assert rank.rounded(np.array(values), 6).tolist() == want
+
+
+def test_phrases_are_not_unfolded(spark):
+    index = ix.build(spark.createDataFrame([(1, "of the of the"), (2, "the of"), (3, "the x the of the")], "doc_id long, text string"))
+    docs = lambda terms, offsets: query.phrase_docs(index, query.Clause(terms, offsets))
+    assert [r.doc_id for r in docs(("the", "the"), (0, 2)).collect()] == [1, 3] and exchanges(docs(("the", "the"), (0, 2))) == (0, 0)
+    assert sorted(r.doc_id for r in docs(("of", "the"), (0, 1)).collect()) == [1, 3]
+    assert [r.doc_id for r in docs(("the", "of", "the"), (0, 1, 2)).orderBy("doc_id").collect()] == [1, 3]
+
+
 def test_dense_ids(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7919 % 1009).alias("x")).repartition(7)
     rows = ix.with_doc_ids(df, "x").orderBy("x").collect()
