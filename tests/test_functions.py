@@ -198,3 +198,22 @@ def test_column_forms_agree(spark):
     got = df.select(text.tokens(F.col("t")).alias("t"), urls.normalize_udf("u").alias("a"), urls.normalized_simple(F.col("u")).alias("b")).collect()
     assert got[0].t == ["mass", "flute", "àb", "12"] and got[1].t == []
     assert got[0].a == got[0].b == "http://x.example.org/p?c=2&d=1"
+
+
+def test_pages_are_read_in_bounded_batches(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from trawl.functions import pages
+
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+
+    @F.pandas_udf("long")
+    def batch(html: pd.Series) -> pd.Series:
+        return pd.Series([html.str.len().sum()] * len(html))
+
+    rows = spark.range(0, 3000, 1, 1).select(F.lit("http://a.test/").alias("url"), F.repeat(F.lit("x"), 10_000).alias("html"))
+    out = pages.parsed_pages(rows).select("page.text", batch("html").alias("n"))
+    assert out.agg(F.count("text"), F.max("n")).first()[0] == 3000
+    assert out.agg(F.max("n")).first()[0] <= 8 << 20
