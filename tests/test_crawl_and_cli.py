@@ -123,6 +123,13 @@ def test_running_values_of_groups_over_many_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_running_values_shuffle_once(spark):
+    dealt = ordered.dealt(spark.range(100).select((F.col("id") % 3).alias("g"), "id"), ["g"], ["id"])
+    rows = ordered.previous(ordered.row_numbers(dealt, ["g"], ["id"], "n"), ["g"], ["id"], "id", "before")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.where("before = id - 3 or (n = 1 and before is null)").count() == 100
+
+
 def test_vbyte(spark):
     numbers = [0, 1, 127, 128, 300, 16383, 16384, 2**31, 2**53, 2**63 - 1]
     df = spark.createDataFrame([(numbers,), ([],), ([5],)], "x array<bigint>").withColumn("data", index.vbyte_encode(F.col("x")))
